@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.llm import canon, names
+from rillway.llm import canon, names, split
 from rillway.session import table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
@@ -36,9 +36,33 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     return who.join(size, "entity").select("name", "class_name", (F.col("n") - 1).alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_entities, p6_found, p6_canonical)}
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    """Sections and paragraphs with their pieces; the limits are a table of two rows."""
+    limits = F.broadcast(table(spark, d, "split_limits"))
+    both = None
+    for name, key in (("doc_sections", "section_row_id"), ("doc_paragraphs", "paragraph_row_id")):
+        t = table(spark, d, name).select(F.lit(name).alias("item_table"), F.col(key).alias("row_id"), "text")
+        both = t if both is None else both.unionByName(t)
+    return split.split_items(both.join(limits, "item_table"), "text", F.col("max_chars"), F.col("overlap_chars"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that were cut; whether a stretch without white space exceeds the limit is checked where a piece was cut in mid-word."""
+    hard = F.exists("pieces", lambda p: p["cut"] == "char")
+    stretch = F.array_max(F.transform(F.split("text", r"(?U)\s+"), lambda w: F.length(w)))
+    return _p7(spark, d).where("size(pieces) > 1").select("item_table", "row_id", F.when(hard & (stretch > F.col("max_chars")), 1).otherwise(0).alias("unbroken"))
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select("item_table", "row_id", F.inline("pieces")).withColumn("n", F.length("text"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
+_P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {
+    "p7_found": rf"""select item_table, row_id, (list_max(list_transform(regexp_split_to_array(text, '[\s\p{{Z}}\x{{85}}]+'), lambda w: length(w))) > max_chars)::int unbroken
+        from {_P7} join split_limits using (item_table) where length(text) > max_chars""",
     "p6_found": f"select notice_row_id, field_name from (select notice_row_id, unnest([{', '.join(f'{{f: {chr(39)}{c}{chr(39)}, d: {c}_differs}}' for c in P6_FIELDS)}], recursive := true) from ({_P6})) t(notice_row_id, field_name, d) where d",
     "p6_canonical": f"select notice_row_id, {', '.join(P6_FIELDS)} from ({_P6})",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.llm import canon, names, split
+from rillway.llm import canon, names, sentences, split
 from rillway.session import table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
@@ -57,7 +57,11 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).select("item_table", "row_id", F.inline("pieces")).withColumn("n", F.length("text"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
 _P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {

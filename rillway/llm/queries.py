@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.llm import canon, names, sentences, split
+from rillway.llm import canon, langid, names, sentences, split
 from rillway.session import table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
@@ -61,7 +61,35 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
+def _p2_model(spark: SparkSession, d: str) -> langid.Model:
+    more = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return langid.fit_language_model(table(spark, d, "cpv_notice_examples"), "example_id", "example_text", "language", table(spark, d, "cpv_catalog"), more)
+
+
+def _p2_examples(spark: SparkSession, d: str, model: langid.Model) -> DataFrame:
+    return langid.label_texts(table(spark, d, "cpv_notice_examples"), "example_id", "example_text", "language", model)
+
+
+def _p2_segments(spark: SparkSession, d: str, model: langid.Model) -> DataFrame:
+    return langid.label_segments(table(spark, d, "ted_notices"), "notice_row_id", "description_proc", "official_languages_json", model)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _p2_model(spark, d)
+    ex = _p2_examples(spark, d, model).where("wrong").select(F.lit("cpv_notice_examples").alias("table_name"), F.col("example_id").alias("row_id"), "lang")
+    seg = _p2_segments(spark, d, model).where("not is_named and lang <> 'und'").select(F.lit("ted_notices").alias("table_name"), F.col("notice_row_id").alias("row_id"), "lang")
+    return ex.unionByName(seg.distinct())
+
+
+def p2_examples(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_examples(spark, d, _p2_model(spark, d)).withColumn("confidence", F.round("confidence", 3))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_segments(spark, d, _p2_model(spark, d)).withColumn("confidence", F.round("confidence", 3))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
 _P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {

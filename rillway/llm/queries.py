@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.llm import canon, langid, names, sentences, split
+from rillway.llm import canon, langid, names, scans, sentences, split
 from rillway.session import table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
@@ -89,7 +89,13 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return _p2_segments(spark, d, _p2_model(spark, d)).withColumn("confidence", F.round("confidence", 3))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    lines, words = scans.repair(table(spark, d, "doc_sections"), "section_row_id", "text", "doc_id", "program_name")
+    frame = lines.select(F.col("key").alias("section_row_id"), F.lit("line").alias("kind"), F.explode(F.col("frame").cast("array<string>")).alias("found"))
+    return frame.unionByName(words.select(F.col("key").alias("section_row_id"), F.lit("word").alias("kind"), F.col("right").alias("found")).distinct())
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
 _P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {

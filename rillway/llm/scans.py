@@ -32,11 +32,12 @@ NUMBER = re.compile(r"\s*\d{1,4}\s*\Z")
 #: Letters and the letters they are misread as.
 MISREAD = (
     ("i", "l"), ("l", "1"), ("l", "I"), ("i", "1"), ("I", "l"), ("I", "1"), ("o", "0"), ("O", "0"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("ß", "B"), ("g", "q"), ("u", "n"), ("n", "u"),
-    ("rn", "m"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("nn", "m"), ("ri", "n"), ("li", "h"), ("S", "5"), ("s", "5"), ("B", "8"), ("t", "f"), ("f", "t"), ("a", "o"), ("o", "a"), ("v", "y"), ("ü", "ii"), ("G", "C"), ("Z", "2"), ("z", "2"), ("q", "g"), ("D", "0"), ("E", "F"), ("l", "i"), ("t", "l"), ("1", "l"), ("0", "o"),
+    ("rn", "m"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("nn", "m"), ("ri", "n"), ("li", "h"), ("S", "5"), ("s", "5"), ("B", "8"), ("t", "f"), ("f", "t"), ("a", "o"), ("o", "a"), ("v", "y"), ("ü", "ii"), ("G", "C"), ("Z", "2"), ("z", "2"), ("q", "g"), ("D", "0"), ("E", "F"), ("l", "i"), ("t", "l"), ("1", "l"), ("0", "o"), ("cl", "d"),
+    ("ä", "a"), ("ö", "o"), ("ü", "u"), ("å", "a"), ("é", "e"), ("è", "e"), ("ê", "e"), ("á", "a"), ("à", "a"), ("ã", "a"), ("ó", "o"), ("ò", "o"), ("ô", "o"), ("í", "i"), ("ú", "u"), ("ç", "c"), ("ñ", "n"), ("ł", "l"), ("ą", "a"), ("ę", "e"), ("ś", "s"), ("ć", "c"), ("ż", "z"),
 )
 #: Words that follow a hyphen which stands for a part left out.
 AFTER_HANGING = set("und oder bzw sowie and or et ou y e o i lub oraz ed en of och eller και ή и или".split())
-RATIO, LEAST = 8, 4
+RATIO, LEAST, CLEAN = 8, 4, 0.1
 WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 #: Probabilities of each feature's values, in body and frame, before training.
 PRIOR = {
@@ -172,20 +173,22 @@ def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[list[tuple[st
     line end joins unless the next word shows that a part was left out on purpose; what the hyphen becomes is
     decided later, against the vocabulary.
     """
-    paras, now, frame, waiting = [], [], [], 0
+    paras, now, frame, gap, torn = [], [], [], False, False
     for i, line in enumerate(lines):
         if labels[i] == FRAME:
             frame.append(i)
+            torn = True
             continue
         if labels[i] == BREAK:
-            waiting += 1
-            if waiting == 1 and not (now and now[-1][0].endswith("-") and i + 1 < len(lines) and lines[i + 1][:1].islower()):
-                if now:
-                    paras.append(now)
-                now = []
+            gap = True
             continue
-        waiting = 0
         tokens = line.split()
+        if gap and now:  # a page frame with blank lines around it, or a broken word, doesn't end a paragraph
+            last, low = now[-1][0], line.lstrip()[:1].islower()
+            if not (low and (last.endswith("-") or (torn and last[-1] not in ".!?…:;"))):
+                paras.append(now)
+                now = []
+        gap = torn = False
         if now and tokens and len(now[-1][0]) > 1 and now[-1][0].endswith("-") and now[-1][0][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
             left, right = now[-1][0], tokens.pop(0)
             now[-1] = (left[:-1] + right, f"{left}\n{right}")
@@ -230,7 +233,7 @@ def _with_keys(df: DataFrame, text: str, doc: str) -> DataFrame:
 
 
 def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> DataFrame:
-    """(key, frame ARRAY<INT>, paras ARRAY<ARRAY<STRUCT<token, halves>>>) of every text, by a model trained on a sample of df."""
+    """(key, doc, frame ARRAY<INT>, paras ARRAY<ARRAY<STRUCT<token, halves>>>) of every text, by a model trained on a sample of df."""
     src = _with_keys(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(doc).alias("doc"), F.coalesce(program, F.element_at(F.split(doc, "/"), 1)).alias("program")), "text", "doc")
     model = LineModel()
     sample = []
@@ -245,18 +248,18 @@ def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> Da
     def run(batches):
         for b in batches:
             rows = []
-            for k, t, heads, prog in zip(b["key"], b["text"], b["heads"], b["program"]):
+            for k, dc, t, heads, prog in zip(b["key"], b["doc"], b["text"], b["heads"], b["program"]):
                 if not t:
-                    rows.append((k, [], []))
+                    rows.append((k, dc, [], []))
                     continue
                 lines = t.split("\n")
                 known = {h["k"]: h["n"] for h in heads} if heads is not None else {}
                 paras, frame = paragraphs(lines, model.label(lines, features(lines, known, prog)))
-                rows.append((k, frame, [[{"token": a, "halves": h} for a, h in p] for p in paras]))
-            yield pd.DataFrame(rows, columns=["key", "frame", "paras"])
+                rows.append((k, dc, frame, [[{"token": a, "halves": h} for a, h in p] for p in paras]))
+            yield pd.DataFrame(rows, columns=["key", "doc", "frame", "paras"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return src.mapInPandas(run, f"key {kind}, frame array<int>, paras array<array<struct<token:string,halves:string>>>")
+    return src.mapInPandas(run, f"key {kind}, doc string, frame array<int>, paras array<array<struct<token:string,halves:string>>>")
 
 
 def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
@@ -268,15 +271,16 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
     """
     scratch = Scratch(df.sparkSession)
     lines = scratch.cut(read_lines(df, key, text, doc, program))
-    flat = lines.select("key", F.explode(F.flatten("paras")).alias("t")).select("key", "t.token", "t.halves")
+    scanned = lines.where("size(frame) > 0").select("doc").distinct().withColumn("scanned", F.lit(1))
+    flat = lines.join(scanned, "doc", "left").select("key", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.explode(F.flatten("paras")).alias("t")).select("key", "scanned", "t.token", "t.halves")
     strip = lambda c: F.regexp_replace(c, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     tokens = scratch.cut(
-        flat.select("key", strip(F.col("token")).alias("word"), strip(F.regexp_replace("halves", "\n", "")).alias("hyphened"))
+        flat.select("key", "scanned", strip(F.col("token")).alias("word"), strip(F.regexp_replace("halves", "\n", "")).alias("hyphened"))
         .where("word <> ''")
-        .groupBy("key", "word", "hyphened").agg(F.count("*").alias("k"))
+        .groupBy("key", "scanned", "word", "hyphened").agg(F.count("*").alias("k"))
     )
-    vocab = tokens.groupBy("word", F.col("hyphened").alias("h")).agg(F.sum("k").alias("n"))
-    plain = scratch.cut(vocab.where("h = ''").select("word", "n"))
+    vocab = tokens.groupBy("word", F.col("hyphened").alias("h")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * (1 - F.col("scanned"))).alias("clean"))
+    plain = scratch.cut(vocab.where("h = ''").select("word", "n", "clean"))
     # what the hyphen of a broken word becomes: kept where that form is the more frequent one of whole words
     cut = tokens.where("hyphened <> ''").select("word", "hyphened").distinct()
     as_one = plain.select("word", F.col("n").alias("n1"))
@@ -285,7 +289,7 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
         cut.join(as_one, "word", "left").join(as_two, "hyphened", "left")
         .select("word", "hyphened", F.when(F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)), F.col("hyphened")).otherwise(F.col("word")).alias("whole"))
     )
-    counted = plain.select("word", "n").unionByName(resolved.select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = plain.unionByName(resolved.select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("clean"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
     fixes = scratch.cut(misread_words(counted))
     broken = tokens.where("hyphened <> ''").join(resolved, ["word", "hyphened"]).join(fixes.select(F.col("word").alias("whole"), "right"), "whole", "left").select(
         "key", F.col("hyphened").alias("word"), F.coalesce("right", "whole").alias("right"), F.when(F.col("right").isNull(), "broken").otherwise("broken+misread").alias("why")
@@ -295,7 +299,10 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
 
 
 def misread_words(vocab: DataFrame) -> DataFrame:
-    """(word, right) from a vocabulary (word, n) of all texts: words that a misreading made out of a far more frequent one."""
+    """(word, right) from a vocabulary (word, n, clean) of all texts: words that a misreading made out of a far more frequent one.
+
+    clean counts the uses in documents without a page frame; a word that is at home there is no misreading.
+    """
 
     def guess(batches):
         for b in batches:
@@ -303,6 +310,6 @@ def misread_words(vocab: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["word", "n", "right"])
 
     often = vocab.where(f"n >= {LEAST}").select(F.col("word").alias("right"), F.col("n").alias("m"))
-    pairs = vocab.mapInPandas(guess, "word string, n long, right string").join(often, "right").where(f"m >= {RATIO} * n")
+    pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often, "right").where(f"m >= {RATIO} * n")
     w = Window.partitionBy("word").orderBy(F.desc("m"), "right")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "right")

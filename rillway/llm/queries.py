@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.llm import canon, langid, names, scans, sentences, split
+from rillway.llm import canon, langid, mix, names, pack, scans, sentences, split, tokens
 from rillway.session import table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
@@ -95,7 +95,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return frame.unionByName(words.select(F.col("key").alias("section_row_id"), F.lit("word").alias("kind"), F.col("right").alias("found")).distinct())
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    t = tokens.with_token_counts(table(spark, d, "documents").select(F.col("doc_id").alias("item"), "source", "text"), "text")
+    return t.select("item", "source", F.col("n_tokens").alias("n"))
+
+
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(_sized(spark, d), table(spark, d, "pack_sizes").select("container_name", F.col("capacity_tokens").alias("capacity")))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d).select("container_name", "container_id", F.col("item").alias("doc_id"), "part_no", F.col("n").alias("n_tokens"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind of container: how many were used, how many are needed at least, and the share of room used."""
+    p = _p8(spark, d)
+    return p.groupBy("container_name", "capacity").agg(
+        F.countDistinct("container_id").alias("containers"), F.sum("n").alias("tokens"), F.countDistinct("item").alias("documents")
+    ).withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0].select(F.col("item").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[1].withColumn("actual_share", F.round("actual_share", 5))
+
+
+QUERIES = {f.__name__: f for f in (p8_containers, p8_report, p9_copies, p9_shares, p3_found, p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
 _P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {

@@ -37,6 +37,7 @@ MISREAD = (
 )
 #: Words that follow a hyphen which stands for a part left out.
 AFTER_HANGING = set("und oder bzw sowie and or et ou y e o i lub oraz ed en of och eller και ή и или".split())
+HYPHENS = "-‐‑¬\xad"
 RATIO, LEAST, CLEAN = 8, 4, 0.1
 WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 #: Probabilities of each feature's values, in body and frame, before training.
@@ -97,7 +98,7 @@ def features(lines: list[str], keys: dict[str, int], program: str) -> np.ndarray
         full = len(lines[i].rstrip()) + 1 + after > width - 2
         if out[i, 0] == 0 and (s.count(" | ") >= 2 or TABLE.match(s)):
             out[i, 0] = 4
-        out[i, 3] = int(not full and s[-1] not in ".,;:!?)-" and out[i, 0] < 3)
+        out[i, 3] = int(not full and s[-1] not in ".,;:!?)" + HYPHENS and out[i, 0] < 3)
         out[i, 4] = int(s[-1] in ".,;!?)")
         out[i, 5] = int(bool(tail) and len(s) <= 120)
     return out
@@ -185,13 +186,13 @@ def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[list[tuple[st
         tokens = line.split()
         if gap and now:  # a page frame with blank lines around it, or a broken word, doesn't end a paragraph
             last, low = now[-1][0], line.lstrip()[:1].islower()
-            if not (low and (last.endswith("-") or (torn and last[-1] not in ".!?…:;"))):
+            if not (low and (last[-1] in HYPHENS or (torn and last[-1] not in ".!?…:;"))):
                 paras.append(now)
                 now = []
         gap = torn = False
-        if now and tokens and len(now[-1][0]) > 1 and now[-1][0].endswith("-") and now[-1][0][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
+        if now and tokens and len(now[-1][0]) > 1 and now[-1][0][-1] in HYPHENS and now[-1][0][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
             left, right = now[-1][0], tokens.pop(0)
-            now[-1] = (left[:-1] + right, f"{left}\n{right}")
+            now[-1] = (left[:-1] + right, f"{left[:-1]}-\n{right}")
         now += [(t, "") for t in tokens]
     if now:
         paras.append(now)

@@ -3,7 +3,7 @@
 Lines are labelled body, frame or break by a hidden Markov model over layout features, whose parameters are trained
 by expectation maximisation on a bounded sample of sections (SAMPLE_SECTIONS). Without the frame, body lines are put
 together to paragraphs; words broken at line ends are joined. Misread words are found against the vocabulary of
-all sections: a rare word that becomes a much more frequent one by undoing one or two misreadings of letters.
+all sections: a rare word that becomes a much more frequent one by undoing a misreading of letters.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ MISREAD = (
 )
 #: Words that follow a hyphen which stands for a part left out.
 AFTER_HANGING = set("und oder bzw sowie and or et ou y e o i lub oraz ed en of och eller και ή и или".split())
+JOINT = "\x01"
 HYPHENS = "-‐‑¬\xad"
 RATIO, LEAST, CLEAN = 8, 4, 0.1
 WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
@@ -167,10 +168,10 @@ def bare(token: str) -> str:
     return m[0] if m else ""
 
 
-def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[list[tuple[str, str]]], list[int]]:
-    """Paragraphs as lists of (token, halves), and the numbers of the frame lines.
+def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[str], list[int]]:
+    """Paragraphs, and the numbers of the frame lines.
 
-    halves is '' or, for a token put together from two lines, the two halves with a line feed between. A hyphen at a
+    In a word put together from two lines JOINT stands for the hyphen between its halves. A hyphen at a
     line end joins unless the next word shows that a part was left out on purpose; what the hyphen becomes is
     decided later, against the vocabulary.
     """
@@ -185,34 +186,30 @@ def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[list[tuple[st
             continue
         tokens = line.split()
         if gap and now:  # a page frame with blank lines around it, or a broken word, doesn't end a paragraph
-            last, low = now[-1][0], line.lstrip()[:1].islower()
+            last, low = now[-1], line.lstrip()[:1].islower()
             if not (low and (last[-1] in HYPHENS or (torn and last[-1] not in ".!?…:;"))):
-                paras.append(now)
+                paras.append(" ".join(now))
                 now = []
         gap = torn = False
-        if now and tokens and len(now[-1][0]) > 1 and now[-1][0][-1] in HYPHENS and now[-1][0][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
-            left, right = now[-1][0], tokens.pop(0)
-            now[-1] = (left[:-1] + right, f"{left[:-1]}-\n{right}")
-        now += [(t, "") for t in tokens]
+        if now and tokens and len(now[-1]) > 1 and now[-1][-1] in HYPHENS and now[-1][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
+            now[-1] = now[-1][:-1] + JOINT + tokens.pop(0)
+        now += tokens
     if now:
-        paras.append(now)
+        paras.append(" ".join(now))
     return paras, frame
 
 
-def undo(word: str, twice: bool = True) -> set[str]:
-    """Words that could have been misread as word: one misreading undone, or two of them."""
-    one = set()
+def undo(word: str) -> set[str]:
+    """Words that could have been misread as word: one misreading undone, at one place or at all places where it can have been."""
+    out = set()
     for good, bad in MISREAD:
         i = word.find(bad)
         while i >= 0:
-            one.add(word[:i] + good + word[i + len(bad) :])
+            out.add(word[:i] + good + word[i + len(bad) :])
             i = word.find(bad, i + 1)
-    if twice and len(word) >= 8:
-        for w in list(one):
-            if len(one) < 3000:
-                one |= undo(w, False)
-    one.discard(word)
-    return one
+        out.add(word.replace(bad, good))
+    out.discard(word)
+    return out
 
 
 def _with_keys(df: DataFrame, text: str, doc: str) -> DataFrame:
@@ -234,7 +231,7 @@ def _with_keys(df: DataFrame, text: str, doc: str) -> DataFrame:
 
 
 def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> DataFrame:
-    """(key, doc, frame ARRAY<INT>, paras ARRAY<ARRAY<STRUCT<token, halves>>>) of every text, by a model trained on a sample of df."""
+    """(key, doc, frame ARRAY<INT>, paras ARRAY<STRING>) of every text, by a model trained on a sample of df."""
     src = _with_keys(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(doc).alias("doc"), F.coalesce(program, F.element_at(F.split(doc, "/"), 1)).alias("program")), "text", "doc")
     model = LineModel()
     sample = []
@@ -256,11 +253,14 @@ def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> Da
                 lines = t.split("\n")
                 known = {h["k"]: h["n"] for h in heads} if heads is not None else {}
                 paras, frame = paragraphs(lines, model.label(lines, features(lines, known, prog)))
-                rows.append((k, dc, frame, [[{"token": a, "halves": h} for a, h in p] for p in paras]))
+                rows.append((k, dc, frame, paras))
+                if len(rows) >= 500:
+                    yield pd.DataFrame(rows, columns=["key", "doc", "frame", "paras"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["key", "doc", "frame", "paras"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return src.mapInPandas(run, f"key {kind}, doc string, frame array<int>, paras array<array<struct<token:string,halves:string>>>")
+    return src.mapInPandas(run, f"key {kind}, doc string, frame array<int>, paras array<string>")
 
 
 def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
@@ -273,10 +273,10 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
     scratch = Scratch(df.sparkSession)
     lines = scratch.cut(read_lines(df, key, text, doc, program))
     scanned = lines.where("size(frame) > 0").select("doc").distinct().withColumn("scanned", F.lit(1))
-    flat = lines.join(scanned, "doc", "left").select("key", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.explode(F.flatten("paras")).alias("t")).select("key", "scanned", "t.token", "t.halves")
+    flat = lines.join(scanned, "doc", "left").select("key", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.explode(F.flatten(F.transform("paras", lambda p: F.split(p, " ")))).alias("token"))
     strip = lambda c: F.regexp_replace(c, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     tokens = scratch.cut(
-        flat.select("key", "scanned", strip(F.col("token")).alias("word"), strip(F.regexp_replace("halves", "\n", "")).alias("hyphened"))
+        flat.select("key", "scanned", strip(F.replace("token", F.lit(JOINT), F.lit(""))).alias("word"), F.when(F.contains("token", F.lit(JOINT)), strip(F.replace("token", F.lit(JOINT), F.lit("-")))).otherwise("").alias("hyphened"))
         .where("word <> ''")
         .groupBy("key", "scanned", "word", "hyphened").agg(F.count("*").alias("k"))
     )
@@ -307,8 +307,10 @@ def misread_words(vocab: DataFrame) -> DataFrame:
 
     def guess(batches):
         for b in batches:
-            rows = [(w, n, g) for w, n in zip(b["word"], b["n"]) if len(w) >= 3 and sum(map(str.isalpha, w)) >= 2 for g in undo(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "right"])
+            for i in range(0, len(b), 1000):  # in slices, as a word has many candidates
+                part = b.iloc[i : i + 1000]
+                rows = [(w, n, g) for w, n in zip(part["word"], part["n"]) if len(w) >= 3 and sum(map(str.isalpha, w)) >= 2 for g in undo(w)]
+                yield pd.DataFrame(rows, columns=["word", "n", "right"])
 
     often = vocab.where(f"n >= {LEAST}").select(F.col("word").alias("right"), F.col("n").alias("m"))
     pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often, "right").where(f"m >= {RATIO} * n")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rillway.plans import retrieval, training
+from rillway.plans import analytics, retrieval, training
 
-MODULES = (training, retrieval)
+MODULES = (training, retrieval, analytics)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

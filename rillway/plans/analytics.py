@@ -9,7 +9,7 @@ from rillway.functions import cpv
 from rillway.functions.text import confidence, hash_share, min_max, safe_ratio
 from rillway.operators import evaluate as E, graph as G
 from rillway.operators.components import connected_components
-from rillway.session import table
+from rillway.session import spread, table
 
 MAIN = "regexp_extract(main_cpv_code, '([0-9]{8})', 1)"
 
@@ -228,10 +228,10 @@ def claim_support(spark: SparkSession, d: str) -> DataFrame:
     """Share of each paragraph's different tokens longer than two letters that its section has, and the verdict."""
     toks = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[^\W_]+"), F.lit(0)), lambda t: F.length(t) > 2))
     s = table(spark, d, "doc_sections").groupBy("doc_id", "section_id").agg(F.min_by("text", "section_row_id").alias("sec"))
-    p = table(spark, d, "doc_paragraphs").select("paragraph_row_id", "doc_id", "section_id", toks(F.col("text")).alias("t"))
-    j = p.join(s, ["doc_id", "section_id"])
-    share = safe_ratio(F.size(F.array_intersect("t", toks(F.col("sec")))), F.size("t"))
-    return j.select("paragraph_row_id", F.round(share, 6).alias("support"), F.when(share >= 0.62, "supported").when(share >= 0.35, "partial").otherwise("unsupported").alias("verdict"))
+    s = spread(s).select("doc_id", "section_id", toks(F.col("sec")).alias("u"))  # tokens once per section, before the join repeats them
+    p = spread(table(spark, d, "doc_paragraphs").select("paragraph_row_id", "doc_id", "section_id", "text")).select("paragraph_row_id", "doc_id", "section_id", toks(F.col("text")).alias("t"))
+    j = p.join(s, ["doc_id", "section_id"]).select("paragraph_row_id", safe_ratio(F.size(F.array_intersect("t", "u")), F.size("t")).alias("share"))
+    return j.select("paragraph_row_id", F.round("share", 6).alias("support"), F.when(F.col("share") >= 0.62, "supported").when(F.col("share") >= 0.35, "partial").otherwise("unsupported").alias("verdict"))
 
 
 def diagnose_rules(spark: SparkSession, d: str) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rillway.functions import cpv
 from rillway.functions.text import clean_text as clean, overlap, tokens
 from rillway.operators import evaluate as E, retrieval as R
-from rillway.session import table
+from rillway.session import spread, table
 
 K, DEPTH = 10, 50
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "cpv_code", "source", "lang", "publication_number")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "cpv_code", "source", "lang", "publication_number"))
 
 
 def _questions(spark, d):
@@ -29,7 +29,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_fixed_words(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunks(table(spark, d, "documents"), "doc_id", F.col("text"), 120, 20)
+    return R.chunks(_docs(spark, d), "doc_id", F.col("text"), 120, 20)
 
 
 def chunk_by_section(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def chunk_by_paragraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    p = R.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
+    p = R.postings(_docs(spark, d), "doc_id", F.col("text"))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillway.operators.hierarchy import ancestor_paths, hierarchy
 from rillway.operators.records import notice_entities
-from rillway.session import table
+from rillway.session import spread, table
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return notice_entities(table(spark, d, "ted_notices"), "notice_row_id", "raw_notice_json")
+    return notice_entities(spread(table(spark, d, "ted_notices").select("notice_row_id", "raw_notice_json")), "notice_row_id", "raw_notice_json")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits than there are cores; larger input stays as it is read.
+
+    For scans that heavy per-row work follows. Only what is selected from the scan is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share: the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
     sc = spark.sparkContext

@@ -101,8 +101,8 @@ def canonical_text(df: DataFrame, columns: list[str], keep: list[str]) -> DataFr
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         for b in batches:
-            batch = pa.Table.from_batches([b.rename_columns([names[n] for n in b.schema.names])])  # noqa: F841, read by the SQL
-            for part in con.execute(sql).to_arrow_table().to_batches():
+            con.register("batch", pa.Table.from_batches([b.rename_columns([names[n] for n in b.schema.names])]))
+            for part in con.sql(sql).to_arrow_table().to_batches():
                 yield part.rename_columns(final)
 
     assert set(kinds) == set(keep) | set(columns)

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from rillway.llm.canon import canonical_text
 from rillway.operators.components import connected_components
-from rillway.session import Scratch
+from rillway.session import Scratch, spread
 
 Q = 4
 EDITS = 2
@@ -230,7 +230,7 @@ def link_names(df: DataFrame, name: str) -> DataFrame:
     scratch = Scratch(spark)
     raw = df.select(F.col(name).alias("name")).where("trim(name) <> ''").distinct()
     raw = raw.select("name", F.col("name").alias("form"))
-    forms = canonical_text(raw, ["form"], ["name"]).select("name", "form")
+    forms = canonical_text(spread(raw), ["form"], ["name"]).select("name", "form")
 
     def split(batches):
         for b in batches:

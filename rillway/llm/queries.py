@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillway.llm import canon, langid, mix, names, pack, scans, sentences, split, tokens
-from rillway.session import table
+from rillway.session import spread, table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
 
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:
-    return canon.canonical_text(table(spark, d, "ted_notices"), P6_FIELDS, ["notice_row_id"])
+    return canon.canonical_text(spread(table(spark, d, "ted_notices").select("notice_row_id", *P6_FIELDS)), P6_FIELDS, ["notice_row_id"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _p7(spark: SparkSession, d: str) -> DataFrame:
     limits = F.broadcast(table(spark, d, "split_limits"))
     both = None
     for name, key in (("doc_sections", "section_row_id"), ("doc_paragraphs", "paragraph_row_id")):
-        t = table(spark, d, name).select(F.lit(name).alias("item_table"), F.col(key).alias("row_id"), "text")
+        t = spread(table(spark, d, name).select(key, "text")).select(F.lit(name).alias("item_table"), F.col(key).alias("row_id"), "text")
         both = t if both is None else both.unionByName(t)
     return split.split_items(both.join(limits, "item_table"), "text", F.col("max_chars"), F.col("overlap_chars"))
 
@@ -58,7 +58,7 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+    return sentences.split_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _p2_model(spark: SparkSession, d: str) -> langid.Model:
@@ -67,11 +67,11 @@ def _p2_model(spark: SparkSession, d: str) -> langid.Model:
 
 
 def _p2_examples(spark: SparkSession, d: str, model: langid.Model) -> DataFrame:
-    return langid.label_texts(table(spark, d, "cpv_notice_examples"), "example_id", "example_text", "language", model)
+    return langid.label_texts(spread(table(spark, d, "cpv_notice_examples").select("example_id", "example_text", "language")), "example_id", "example_text", "language", model)
 
 
 def _p2_segments(spark: SparkSession, d: str, model: langid.Model) -> DataFrame:
-    return langid.label_segments(table(spark, d, "ted_notices"), "notice_row_id", "description_proc", "official_languages_json", model)
+    return langid.label_segments(spread(table(spark, d, "ted_notices").select("notice_row_id", "description_proc", "official_languages_json")), "notice_row_id", "description_proc", "official_languages_json", model)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,13 +90,13 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, words = scans.repair(table(spark, d, "doc_sections"), "section_row_id", "text", "doc_id", "program_name")
+    lines, words = scans.repair(spread(table(spark, d, "doc_sections").select("section_row_id", "text", "doc_id", "program_name")), "section_row_id", "text", "doc_id", "program_name")
     frame = lines.select(F.col("key").alias("section_row_id"), F.lit("line").alias("kind"), F.explode(F.col("frame").cast("array<string>")).alias("found"))
     return frame.unionByName(words.select(F.col("key").alias("section_row_id"), F.lit("word").alias("kind"), F.col("right").alias("found")).distinct())
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    t = tokens.with_token_counts(table(spark, d, "documents").select(F.col("doc_id").alias("item"), "source", "text"), "text")
+    t = tokens.with_token_counts(spread(table(spark, d, "documents").select(F.col("doc_id").alias("item"), "source", "text")), "text")
     return t.select("item", "source", F.col("n_tokens").alias("n"))
 
 

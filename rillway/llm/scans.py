@@ -21,10 +21,10 @@ from rillway.session import Scratch
 
 BODY, FRAME, BREAK = range(3)
 SAMPLE_SECTIONS, ROUNDS = 400, 4
-#: Forms of page numbers; n stands for an arabic or roman number.
-PAGE_FORMS = ("seite n von n", "page n of n", "page n sur n", "página n de n", "pagina n di n", "pagina n van n", "strona n z n", "sida n av n", "σελίδα n από n", "стр. n от n", "seite n", "page n", "s. n", "p. n", "- n -", "– n –", "[n]", "n/n", "n / n")
+#: Forms of page numbers; # stands for an arabic or roman number.
+PAGE_FORMS = ("seite # von #", "page # of #", "page # sur #", "página # de #", "pagina # di #", "pagina # van #", "strona # z #", "sida # av #", "σελίδα # από #", "стр. # от #", "seite #", "page #", "s. #", "p. #", "- # -", "– # –", "[#]", "#/#", "# / #")
 _N = r"(?:\d{1,4}|[ivxlcm]{1,7}|[IVXLCM]{1,7})"
-_FORMS = "|".join(r"\s*".join(_N if w == "n" else re.escape(w) if "n" not in w or len(w) > 3 else re.escape(w).replace("n", _N) for w in p.split(" ")) for p in PAGE_FORMS)
+_FORMS = "|".join(re.escape(p).replace(r"\#", _N).replace(r"\ ", r"\s*") for p in PAGE_FORMS)
 PAGE = re.compile(rf"\s*(?:{_FORMS})\s*\Z", re.IGNORECASE)
 TAIL = re.compile(rf"\s{{2,}}(?:{_FORMS}|{_N})\s*\Z", re.IGNORECASE)
 TABLE = re.compile(r"\[[^\]]*\D \d+\]\Z")

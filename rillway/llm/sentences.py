@@ -116,6 +116,10 @@ def _depths(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
+def _abbreviated(low: str) -> bool:
+    return low.rstrip(".").rsplit("-", 1)[-1] in ABBREVIATIONS
+
+
 def closing_score(word: str, mark: str, before: str) -> float:
     """How well a sentence closes with the word before its mark; before is the text ahead of the word."""
     if mark[0] in "。！？।؟":
@@ -124,10 +128,10 @@ def closing_score(word: str, mark: str, before: str) -> float:
         return 3.0
     low = word.lower().rstrip(".")
     last = before.rstrip()
-    if OPENER_NUMBER.match(word + ".") and (not last or last[-1] in ".!?…:;।。"):
+    prior = WORD_BEFORE.search(last)
+    if OPENER_NUMBER.match(word + ".") and (not last or (last[-1] in ".!?…:;।。" and not _abbreviated(prior[0].lower() if prior else ""))):
         return -9.0
     if low.isdigit() and len(low) < 3:
-        prior = WORD_BEFORE.search(last)
         return -4.0 if prior and prior[0].lower() in BEFORE_ORDINAL else 1.5
     piece = low.rsplit("-", 1)[-1]
     if low in ABBREVIATIONS or piece in ABBREVIATIONS or low.replace(" ", "") in ABBREVIATIONS:
@@ -212,9 +216,10 @@ def block_sentences(text: str, s: int, e: int) -> list[tuple[int, int]]:
             q += 1
         depth.append(now)
     n = len(ends)
+    wide = 3 if text[s] > "⺀" else 1  # a sign of these scripts says as much as some letters
     length = [0]
     for i in range(n):
-        length.append(length[-1] + ends[i] - starts[i])
+        length.append(length[-1] + wide * (ends[i] - starts[i]))
     best, back = [0.0] + [-1e18] * n, [0] * (n + 1)
     for j in range(1, n + 1):
         for i in range(j - 1, -1, -1):

@@ -227,7 +227,7 @@ def _with_keys(df: DataFrame, text: str, doc: str) -> DataFrame:
     found = df.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(keys, "d string, k string, n long")
     often = found.groupBy("d", "k").agg(F.sum("n").alias("n")).where("n > 1 and k <> ''")
     heads = often.groupBy("d").agg(F.collect_list(F.struct("k", "n")).alias("heads"))
-    return df.join(heads, df[doc] == heads["d"], "left").drop("d")
+    return df.join(heads.hint("merge"), df[doc] == heads["d"], "left").drop("d")
 
 
 def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> DataFrame:
@@ -313,6 +313,7 @@ def misread_words(vocab: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["word", "n", "right"])
 
     often = vocab.where(f"n >= {LEAST}").select(F.col("word").alias("right"), F.col("n").alias("m"))
-    pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often, "right").where(f"m >= {RATIO} * n")
+    # Spark takes the size of guesses for that of the words, so the join must not be left to its estimate
+    pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often.hint("merge"), "right").where(f"m >= {RATIO} * n")
     w = Window.partitionBy("word").orderBy(F.desc("m"), "right")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "right")

@@ -314,6 +314,7 @@ def misread_words(vocab: DataFrame) -> DataFrame:
 
     often = vocab.where(f"n >= {LEAST}").select(F.col("word").alias("right"), F.col("n").alias("m"))
     # Spark takes the size of guesses for that of the words, so the join must not be left to its estimate
-    pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often.hint("merge"), "right").where(f"m >= {RATIO} * n")
+    rare = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").repartition(2 * vocab.sparkSession.sparkContext.defaultParallelism, "word")
+    pairs = rare.mapInPandas(guess, "word string, n long, right string").join(often.hint("merge"), "right").where(f"m >= {RATIO} * n")
     w = Window.partitionBy("word").orderBy(F.desc("m"), "right")
     return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "right")

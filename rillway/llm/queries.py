@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from rillway.llm import canon, langid, mix, names, pack, scans, sentences, split, tokens
 from rillway.session import spread, table
@@ -90,11 +91,42 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, words = scans.repair(spread(table(spark, d, "doc_sections").select("section_row_id", "text", "doc_id", "program_name")), "section_row_id", "text", "doc_id", "program_name")
+    lines, words = scans.findings(spread(table(spark, d, "doc_sections").select("section_row_id", "text", "doc_id", "program_name")), "section_row_id", "text", "doc_id", "program_name")
     frame = lines.select(F.col("key").alias("section_row_id"), F.lit("line").alias("kind"), F.explode(F.col("frame").cast("array<string>")).alias("found"))
     return frame.unionByName(words.select(F.col("key").alias("section_row_id"), F.lit("word").alias("kind"), F.col("right").alias("found")).distinct())
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired paragraphs of all doc_sections and doc_paragraphs, numbered from 0 within the row they begin in.
+
+    The rows of doc_paragraphs are put together to their sections again first, so a torn paragraph becomes one; n_rows
+    is the number of rows it runs over, and a row that only goes on with a paragraph of an earlier one has none of its own.
+    Repeated rows each have their paragraphs.
+    """
+    lines, _ = scans.repair(spread(table(spark, d, "doc_sections").select("section_row_id", "text", "doc_id", "program_name")), "section_row_id", "text", "doc_id", "program_name")
+    whole = lines.select(F.lit("doc_sections").alias("item_table"), F.col("key").alias("row_id"), F.posexplode("paras").alias("paragraph_no", "text"), F.lit(1).alias("n_rows"))
+    p = table(spark, d, "doc_paragraphs").where("text is not null")
+    one = p.groupBy("doc_id", "section_id", "paragraph_index", "text").agg(F.collect_list("paragraph_row_id").alias("ids"), F.min("paragraph_row_id").alias("id"), F.min("program_name").alias("program_name"))
+    sections = one.groupBy("doc_id", "section_id").agg(
+        F.min("id").alias("key"), F.min("program_name").alias("program_name"), F.array_sort(F.collect_list(F.struct("paragraph_index", "id", "text", "ids"))).alias("parts")
+    )
+    text = F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")
+    torn, _ = scans.repair(sections.select("key", text.alias("text"), "doc_id", "program_name"), "key", "text", "doc_id", "program_name")
+    # the line each part starts at; between two parts is one blank line
+    by_section = Window.partitionBy("key")
+    n_lines = F.size(F.split("part.text", "\n")) + 1
+    parts = sections.select("key", F.posexplode("parts").alias("at", "part")).select(
+        "key", "at", "part.ids", F.coalesce(F.sum(n_lines).over(by_section.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("start")
+    )
+    starts = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("starts"))
+    begun = lambda line: F.size(F.filter("starts", lambda x: x["start"] <= line))
+    pieces = torn.select("key", "first", F.posexplode(F.arrays_zip(F.col("paras").alias("text"), F.col("first").alias("a"), F.col("last").alias("z"))).alias("no", "para")).join(starts.hint("merge"), "key")
+    pieces = pieces.withColumn("row", begun(F.col("para.a"))).withColumn("part", F.element_at("starts", F.col("row")))
+    before = F.size(F.filter("first", lambda x: x < F.col("part.start")))
+    again = pieces.select(F.lit("doc_paragraphs").alias("item_table"), F.explode("part.ids").alias("row_id"), (F.col("no") - before).alias("paragraph_no"), F.col("para.text").alias("text"), (begun(F.col("para.z")) - F.col("row") + 1).alias("n_rows"))
+    return whole.unionByName(again)
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     t = tokens.with_token_counts(spread(table(spark, d, "documents").select(F.col("doc_id").alias("item"), "source", "text")), "text")
     return t.select("item", "source", F.col("n_tokens").alias("n"))
@@ -128,7 +160,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p9(spark, d)[1].withColumn("actual_share", F.round("actual_share", 5))
 
 
-QUERIES = {f.__name__: f for f in (p8_containers, p8_report, p9_copies, p9_shares, p3_found, p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
+QUERIES = {f.__name__: f for f in (p8_containers, p8_report, p9_copies, p9_shares, p3_found, p3_paragraphs, p2_found, p2_examples, p2_segments, p10_found, p7_found, p7_pieces, p5_found, p5_entities, p6_found, p6_canonical)}
 _P6 = canon.inner_sql("ted_notices", P6_FIELDS, ["notice_row_id"])
 _P7 = """(select 'doc_sections' item_table, section_row_id row_id, text from doc_sections union all select 'doc_paragraphs', paragraph_row_id, text from doc_paragraphs)"""
 ORACLE = {

@@ -9,10 +9,12 @@ all sections: a rare word that becomes a much more frequent one by undoing a mis
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -169,13 +171,19 @@ def bare(token: str) -> str:
 
 
 def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[str], list[int]]:
-    """Paragraphs, and the numbers of the frame lines.
+    """Paragraphs, and the numbers of the frame lines, as in flow."""
+    return flow(lines, labels)[:2]
+
+
+def flow(lines: list[str], labels: np.ndarray) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Paragraphs, the numbers of the frame lines, and of each paragraph its first and its last line.
 
     In a word put together from two lines JOINT stands for the hyphen between its halves. A hyphen at a
     line end joins unless the next word shows that a part was left out on purpose; what the hyphen becomes is
     decided later, against the vocabulary.
     """
     paras, now, frame, gap, torn = [], [], [], False, False
+    first, last_line, at = [], [], 0
     for i, line in enumerate(lines):
         if labels[i] == FRAME:
             frame.append(i)
@@ -189,14 +197,37 @@ def paragraphs(lines: list[str], labels: np.ndarray) -> tuple[list[str], list[in
             last, low = now[-1], line.lstrip()[:1].islower()
             if not (low and (last[-1] in HYPHENS or (torn and last[-1] not in ".!?…:;"))):
                 paras.append(" ".join(now))
+                last_line.append(at)
                 now = []
         gap = torn = False
         if now and tokens and len(now[-1]) > 1 and now[-1][-1] in HYPHENS and now[-1][-2].isalpha() and tokens[0][:1].isalpha() and bare(tokens[0]).casefold() not in AFTER_HANGING:
             now[-1] = now[-1][:-1] + JOINT + tokens.pop(0)
+        if not now:
+            first.append(i)
         now += tokens
+        at = i
     if now:
         paras.append(" ".join(now))
-    return paras, frame
+        last_line.append(at)
+    return paras, frame, first, last_line
+
+
+def core(token: str) -> tuple[int, int]:
+    """Where the word within a token starts and ends: from its first to its last letter or number."""
+    at = [i for i, c in enumerate(token) if unicodedata.category(c)[0] in "LN"]
+    return (at[0], at[-1] + 1) if at else (0, 0)
+
+
+def put_back(para: str, right: dict[tuple[str, str], str]) -> str:
+    """A paragraph with its words as they should read; right has them by (word, form with hyphen or '')."""
+    out = []
+    for t in para.split(" "):
+        if right or JOINT in t:
+            a, b = core(t)
+            word = t[a:b].replace(JOINT, "")
+            t = t[:a].replace(JOINT, "") + right.get((word, t[a:b].replace(JOINT, "-") if JOINT in t else ""), word) + t[b:].replace(JOINT, "")
+        out.append(t)
+    return " ".join(out)
 
 
 def undo(word: str) -> set[str]:
@@ -230,8 +261,15 @@ def _with_keys(df: DataFrame, text: str, doc: str) -> DataFrame:
     return df.join(heads.hint("merge"), df[doc] == heads["d"], "left").drop("d")
 
 
+def _slices(batches, size: int = 500):
+    """Record batches in slices, so that only few long texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            yield b.slice(i, size)
+
+
 def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> DataFrame:
-    """(key, doc, frame ARRAY<INT>, paras ARRAY<STRING>) of every text, by a model trained on a sample of df."""
+    """(key, doc, frame, paras ARRAY<STRING>, first, last) of every text, by a model trained on a sample of df; frame, first and last are line numbers ARRAY<INT>."""
     src = _with_keys(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(doc).alias("doc"), F.coalesce(program, F.element_at(F.split(doc, "/"), 1)).alias("program")), "text", "doc")
     model = LineModel()
     sample = []
@@ -244,31 +282,32 @@ def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> Da
     model.train(sample)
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for k, dc, t, heads, prog in zip(b["key"], b["doc"], b["text"], b["heads"], b["program"]):
+        for b in _slices(batches):
+            out = []
+            for t, heads, prog in zip(*(b.column(c).to_pylist() for c in ("text", "heads", "program"))):
                 if not t:
-                    rows.append((k, dc, [], []))
+                    out.append(([], [], [], []))
                     continue
                 lines = t.split("\n")
                 known = {h["k"]: h["n"] for h in heads} if heads is not None else {}
-                paras, frame = paragraphs(lines, model.label(lines, features(lines, known, prog)))
-                rows.append((k, dc, frame, paras))
-                if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=["key", "doc", "frame", "paras"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "doc", "frame", "paras"])
+                out.append(flow(lines, model.label(lines, features(lines, known, prog))))
+            paras, frame, first, last = zip(*out)
+            numbers = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), b.column("doc"), pa.array(frame, numbers), pa.array(paras, pa.list_(pa.string())), pa.array(first, numbers), pa.array(last, numbers)],
+                names=["key", "doc", "frame", "paras", "first", "last"],
+            )
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return src.mapInPandas(run, f"key {kind}, doc string, frame array<int>, paras array<string>")
+    return src.mapInArrow(run, f"key {kind}, doc string, frame array<int>, paras array<string>, first array<int>, last array<int>")
 
 
-def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
+def findings(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
     """(lines, words) of texts from scanned pages.
 
-    lines: (key, frame, paras) as in read_lines. words: (key, word, right, why): every token that was broken or
-    misread, as it stands (halves joined without hyphen) and as it should read; why is 'broken', 'misread' or both
-    with a plus. Null and empty texts have neither; a text without noise gives only its own paragraphs.
+    lines: as in read_lines, paras still as they stand. words: (key, word, hyphened, right, why): every token that was
+    broken or misread, as it stands (halves joined without hyphen, and with it; '' where nothing was joined) and as it
+    should read; why is 'broken', 'misread' or both with a plus. Null and empty texts have neither.
     """
     scratch = Scratch(df.sparkSession)
     lines = scratch.cut(read_lines(df, key, text, doc, program))
@@ -293,12 +332,30 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
     counted = plain.unionByName(resolved.select(F.col("whole").alias("word"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("clean"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
     fixes = scratch.cut(misread_words(counted))
     broken = tokens.where("hyphened <> ''").join(resolved, ["word", "hyphened"]).join(fixes.select(F.col("word").alias("whole"), "right"), "whole", "left").select(
-        "key", F.col("hyphened").alias("word"), F.coalesce("right", "whole").alias("right"), F.when(F.col("right").isNull(), "broken").otherwise("broken+misread").alias("why")
+        "key", "word", "hyphened", F.coalesce("right", "whole").alias("right"), F.when(F.col("right").isNull(), "broken").otherwise("broken+misread").alias("why")
     )
-    wrong = tokens.where("hyphened = ''").join(fixes, "word").select("key", "word", "right", F.lit("misread").alias("why"))
+    wrong = tokens.where("hyphened = ''").join(fixes, "word").select("key", "word", "hyphened", "right", F.lit("misread").alias("why"))
     return lines, broken.unionByName(wrong)
 
 
+def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, words) as in findings, but with every paragraph of lines as it should read: words put back, no joint left.
+
+    A text without noise gives its own paragraphs.
+    """
+    lines, words = findings(df, key, text, doc, program)
+    columns = lines.columns
+    right = words.groupBy("key").agg(F.collect_list(F.struct("word", "hyphened", "right")).alias("rights"))
+
+    def run(batches):
+        for b in _slices(batches):
+            rights = [{(x["word"], x["hyphened"]): x["right"] for x in r or []} for r in b.column("rights").to_pylist()]
+            paras = [[put_back(p, r) for p in ps] for ps, r in zip(b.column("paras").to_pylist(), rights)]
+            yield pa.RecordBatch.from_arrays([pa.array(paras, pa.list_(pa.string())) if c == "paras" else b.column(c) for c in columns], names=columns)
+
+    return lines.join(right.hint("merge"), "key", "left").mapInArrow(run, lines.schema), words
+
+
 def misread_words(vocab: DataFrame) -> DataFrame:
     """(word, right) from a vocabulary (word, n, clean) of all texts: words that a misreading made out of a far more frequent one.
 

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from rillway.llm import canon, langid, mix, names, pack, scans, sentences, split
+from rillway.llm import canon, langid, mix, names, pack, queries, scans, sentences, split
 
 
 @settings(max_examples=150, deadline=None)
@@ -124,3 +124,24 @@ def test_scan_lines_and_words():
     paras, frame = scans.paragraphs(lines, labels)
     assert frame == [1] and paras[0].replace(scans.JOINT, "") == "Der Vertrag läuft 5 Monate und kann zweimal verlängert werden. Bau- und Lieferleistungen zählen."
     assert "bestimmt" in scans.undo("bestlmmt") and "sofern" in scans.undo("sofem")
+
+
+def test_scan_words_are_put_back(spark):
+    noisy = "Der Vertrag läuft (zwei-\nmal) und kann bestlmmt werden; Online-\nPortal."
+    clean = [f"Der Vertrag ist bestimmt zweimal {i} Online-Portal." for i in range(12)]
+    df = spark.createDataFrame([(i, t, f"d{i}", None) for i, t in enumerate([noisy, None, "", *clean])], "id long, t string, d string, p string")
+    lines, _ = scans.repair(df, "id", "t", "d", "p")
+    got = {r.key: r.paras for r in lines.collect()}
+    assert got[0] == ["Der Vertrag läuft (zweimal) und kann bestimmt werden; Online-Portal."]
+    assert got[1] == got[2] == [] and got[3] == ["Der Vertrag ist bestimmt zweimal 0 Online-Portal."]
+
+
+def test_p3_paragraphs(spark, tables):
+    rows = queries.p3_paragraphs(spark, tables).collect()
+    assert all(r.text.strip() and scans.JOINT not in r.text for r in rows)
+    keys = [(r.item_table, r.row_id, r.paragraph_no) for r in rows]
+    assert len(set(keys)) == len(keys)
+    for name, key in (("doc_sections", "section_row_id"), ("doc_paragraphs", "paragraph_row_id")):
+        ids = {r[0] for r in spark.read.parquet(f"{tables}/{name}.parquet").where("trim(text) <> ''").select(key).collect()}
+        mine = {r.row_id for r in rows if r.item_table == name}
+        assert mine <= ids and (mine == ids if name == "doc_sections" else len(mine) + sum(r.n_rows - 1 for r in rows if r.item_table == name) >= len(ids) * 0.9)

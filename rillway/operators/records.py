@@ -16,6 +16,8 @@ CODE = re.compile(r"\s*([0-9]{8})(?:-[0-9])?\s*\Z")
 CLASS_KEYS = ("classification", "main-classification-proc", "additional-classification-proc")
 LOT_LISTS, GROUP_LISTS, ITEM_LISTS = ("lots",), ("lot-groups",), ("items",)
 LOT_ID, GROUP_ID, ITEM_ID = "lot-id", "group-id", "item-no"
+CRITERION_LISTS, CRITERION_TYPE, CRITERION_WEIGHT, QUANTITY = ("award-criteria",), "type", "weight", "quantity"
+KINDS = ("notice", "lot", "group", "item", "criterion", "code", "field")
 SCHEMA = "row_id BIGINT, entity STRING, node_id INT, parent_id INT, ref STRING, lot_ref STRING, value STRING"
 ARROW = pa.schema(
     [("row_id", pa.int64()), ("entity", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("ref", pa.string()), ("lot_ref", pa.string()), ("value", pa.string())]
@@ -43,7 +45,7 @@ def _down(ix: JsonIndex, own: np.ndarray) -> np.ndarray:
     return got
 
 
-def _entities(ix: JsonIndex, all_codes: bool) -> Iterator[tuple]:
+def _entities(ix: JsonIndex, all_codes: bool, kinds: tuple[str, ...]) -> Iterator[tuple]:
     """(record, entity, node, parent entity node or None, ref, lot_ref, value) of the valid records of a block."""
     m = len(ix.kind)
     key, names = key_texts(ix)
@@ -56,7 +58,7 @@ def _entities(ix: JsonIndex, all_codes: bool) -> Iterator[tuple]:
     obj = good & (ix.kind == LBRACE)
     parent = np.maximum(ix.parent, 0)
     ids = {}
-    for name in (LOT_ID, GROUP_ID, ITEM_ID, "scheme"):
+    for name in (LOT_ID, GROUP_ID, ITEM_ID, "scheme", QUANTITY, CRITERION_TYPE, CRITERION_WEIGHT):
         at = np.full(m, -1, np.int64)
         leaf = np.nonzero(good & having((name,)) & (ix.kind >= STRING))[0]
         at[ix.parent[leaf]] = leaf
@@ -76,26 +78,37 @@ def _entities(ix: JsonIndex, all_codes: bool) -> Iterator[tuple]:
     held = having(ITEM_LISTS)
     is_item = obj & (((ix.parent >= 0) & (ix.kind[parent] == LBRACK) & held[parent]) | (held & (ids[ITEM_ID] >= 0)))
     number_of = np.arange(m)
+    held = having(CRITERION_LISTS)
+    is_criterion = obj & ~is_lot & ~is_group & ~is_item & (held | ((ix.parent >= 0) & (ix.kind[parent] == LBRACK) & held[parent]))
+    holds_object = np.zeros(m, bool)
+    holds_object[ix.parent[obj & (ix.parent >= 0)]] = True
+    is_notice = good & (ix.parent < 0) & ((ix.kind == LBRACE) | ((ix.kind == LBRACK) & holds_object)) & ~is_lot & ~is_group & ~is_item & (not all_codes)
     lot = _down(ix, np.where(is_lot & (lot_at >= 0), number_of, -1))
-    entity = _down(ix, np.where(is_lot | is_group | is_item, number_of, -1))
+    entity = _down(ix, np.where(is_notice | is_lot | is_group | is_item | is_criterion, number_of, -1))
     up = np.where(ix.parent >= 0, entity[parent], -1)
     base = np.searchsorted(ix.doc, np.arange(len(ix.valid)))
     local = number_of - base[ix.doc]
-    quantity = np.full(m, -1, np.int64)
-    leaf = np.nonzero(good & having(("quantity",)) & (ix.kind >= STRING))[0]
-    quantity[ix.parent[leaf]] = leaf
+    told = np.zeros(m, bool)  # leaves that an entity's row holds; the others are fields
+    told[lot_at[is_lot & (lot_at >= 0)]] = True
+    told[group_at[is_group & ~is_lot & (group_at >= 0)]] = True
+    for which, names_of in ((is_item & ~is_lot & ~is_group, (ITEM_ID, QUANTITY)), (is_criterion, (CRITERION_TYPE, CRITERION_WEIGHT))):
+        for name in names_of:
+            at = ids[name][which]
+            told[at[at >= 0]] = True
 
     def row(i, name, ref, value, above):
         lot_ref = ix.text(lot_at[lot[i]]) if lot[i] >= 0 else ""
         return int(ix.doc[i]), name, int(local[i]), int(local[above]) if above >= 0 else None, ref, lot_ref or "", value
 
     if not all_codes:
-        for i in np.nonzero(is_lot)[0]:
-            yield row(i, "lot", ix.text(lot_at[i]), None, up[i])
-        for i in np.nonzero(is_group & ~is_lot)[0]:
-            yield row(i, "group", ix.text(group_at[i]), None, up[i])
-        for i in np.nonzero(is_item & ~is_lot & ~is_group)[0]:
-            yield row(i, "item", ix.text(ids[ITEM_ID][i]), ix.text(quantity[i]), up[i])
+        tables = (
+            ("notice", is_notice, None, None), ("lot", is_lot, lot_at, None), ("group", is_group & ~is_lot, group_at, None),
+            ("item", is_item & ~is_lot & ~is_group, ids[ITEM_ID], ids[QUANTITY]), ("criterion", is_criterion, ids[CRITERION_TYPE], ids[CRITERION_WEIGHT]),
+        )
+        for name, which, ref, value in tables:
+            if name in kinds:
+                for i in np.nonzero(which)[0]:
+                    yield row(i, name, None if ref is None else ix.text(ref[i]), None if value is None else ix.text(value[i]), up[i])
 
     inside = good.copy() if all_codes else _down(ix, np.where(having(CLASS_KEYS), number_of, -1)) >= 0
     under_code = having(("code",))
@@ -110,17 +123,30 @@ def _entities(ix: JsonIndex, all_codes: bool) -> Iterator[tuple]:
                 continue
         code = cpv8(ix.text(i), ix.kind[i] == SCALAR)
         if code:
-            yield row(i, "code", None, code, entity[i])
-
-
-def notice_entities(df: DataFrame, id_col: str, json_col: str, code_list: bool = False) -> DataFrame:
-    """Lots, lot groups, items and codes of nested records as linked rows.
-
-    One row per entity: row_id, entity ('lot', 'group', 'item', 'code'), node_id (unique within the record),
-    parent_id (node_id of the enclosing entity, null at the top), ref (lot-id, group-id or item number), lot_ref
-    (id of the innermost lot around, the entity included; '' outside of lots), value (the code's eight digits, or an item's quantity).
-    With code_list the whole record is a list of codes. Null, empty and invalid records give no rows; a lot
-    without an id takes the id of the lot around it; keys that aren't known are passed over at any depth.
+            told[i] = True
+            if "code" in kinds:
+                yield row(i, "code", None, code, entity[i])
+    if all_codes or "field" not in kinds:
+        return
+    for i in np.nonzero(good & (ix.kind >= STRING) & ~told & (ix.parent >= 0))[0]:
+        path, at = [], i
+        while at >= 0 and at != entity[i]:
+            if key[at] >= 0:
+                path.append(names[key[at]])
+            at = ix.parent[at]
+        yield row(i, "field", ".".join(reversed(path)), ix.text(i), entity[i])
+
+
+def notice_entities(df: DataFrame, id_col: str, json_col: str, code_list: bool = False, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Notices, lots, lot groups, items, award criteria, codes and fields of nested records as linked rows.
+
+    One row per entity: row_id, entity (one of kinds), node_id (unique within the record), parent_id (node_id of the
+    enclosing entity; null for the notice), ref (lot-id, group-id, item number, a criterion's type, or a field's keys
+    from its entity down, joined by dots), lot_ref (id of the innermost lot around, the entity included; '' outside of
+    lots), value (the code's eight digits, an item's quantity, a criterion's weight, or a field's text). Fields are all
+    strings, numbers and literals that no other row holds, so a code of another scheme is one, too.
+    With code_list the whole record is a list of codes, which have no parent in it. Null, empty and invalid records give
+    no rows; a lot without an id takes the id of the lot around it.
     """
 
     def run(batches):
@@ -128,7 +154,7 @@ def notice_entities(df: DataFrame, id_col: str, json_col: str, code_list: bool =
             rows = [(i, x.encode()) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x is not None]
             for part in blocks(rows):
                 ix = structural_index([r for _, r in part])
-                out = [(part[d][0], *rest) for d, *rest in _entities(ix, code_list)]
+                out = [(part[d][0], *rest) for d, *rest in _entities(ix, code_list, kinds)]
                 cols = list(zip(*out)) if out else [()] * len(ARROW)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ARROW)], schema=ARROW)
 

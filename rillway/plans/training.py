@@ -9,30 +9,46 @@ from rillway.operators.records import notice_entities
 from rillway.session import spread, table
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return notice_entities(spread(table(spark, d, "ted_notices").select("notice_row_id", "raw_notice_json")), "notice_row_id", "raw_notice_json")
+def _raw(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    return notice_entities(spread(table(spark, d, "ted_notices").select("notice_row_id", "raw_notice_json")), "notice_row_id", "raw_notice_json", kinds=kinds)
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def p1_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Each code with the node it stands at and the item, lot, group or notice that holds it; a code of the list (origin 'codes') has the notice row itself as parent, and parent_id null."""
     t = table(spark, d, "ted_notices")
-    raw = _raw(spark, d).withColumn("origin", F.lit("raw"))
+    raw = _raw(spark, d, "code").withColumn("origin", F.lit("raw"))
     listed = notice_entities(t, "notice_row_id", "all_cpv_codes_json", code_list=True).withColumn("origin", F.lit("codes"))
-    return (
-        raw.unionByName(listed)
-        .where("entity = 'code'")
-        .select(F.col("row_id").alias("notice_row_id"), "origin", "lot_ref", F.col("value").alias("cpv_code"))
-        .distinct()
-    )
+    return raw.unionByName(listed).select(F.col("row_id").alias("notice_row_id"), "origin", "node_id", "parent_id", "lot_ref", F.col("value").alias("cpv_code"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_codes(spark, d).select("notice_row_id", "origin", "lot_ref", "cpv_code").distinct()
+
+
+def p1_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Each notice row with the node of its raw notice, the parent of what stands at the top; null where the raw notice is unusable."""
+    t = table(spark, d, "ted_notices").select("notice_row_id", "publication_number")
+    return t.join(_raw(spark, d, "notice").select(F.col("row_id").alias("notice_row_id"), "node_id").hint("merge"), "notice_row_id", "left")
+
+
+def p1_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """Award criteria with the node of the lot, group, item or notice that holds them."""
+    return _raw(spark, d, "criterion").select(F.col("row_id").alias("notice_row_id"), "node_id", "parent_id", "lot_ref", F.col("ref").alias("criterion_type"), F.col("value").alias("weight"))
+
+
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """All values of the raw notices that no other table holds, such as titles and official languages, with the node of what they belong to."""
+    return _raw(spark, d, "field").select(F.col("row_id").alias("notice_row_id"), "node_id", "parent_id", "lot_ref", F.col("ref").alias("field"), "value")
 
 
 def p1_lots(spark: SparkSession, d: str) -> DataFrame:
-    """Lots with the node of the lot or lot group that holds them."""
-    return _raw(spark, d).where("entity in ('lot', 'group')").select(F.col("row_id").alias("notice_row_id"), "entity", "node_id", "parent_id", "ref")
+    """Lots with the node of the lot, lot group or notice that holds them."""
+    return _raw(spark, d, "lot", "group").select(F.col("row_id").alias("notice_row_id"), "entity", "node_id", "parent_id", "ref")
 
 
 def p1_items(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).where("entity = 'item'").select(
-        F.col("row_id").alias("notice_row_id"), "lot_ref", F.col("ref").cast("int").alias("item_no"), F.col("value").cast("int").alias("quantity")
+    return _raw(spark, d, "item").select(
+        F.col("row_id").alias("notice_row_id"), "node_id", "parent_id", "lot_ref", F.col("ref").cast("int").alias("item_no"), F.col("value").cast("int").alias("quantity")
     )
 
 
@@ -66,7 +82,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return paths.select(F.col("scope").alias("source_fingerprint"), F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("code"), F.col("node").alias("descendant_code"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_lots, p1_items, p4_found, p4_paths, p4_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_notices, p1_lots, p1_items, p1_criteria, p1_codes, p1_fields, p4_found, p4_paths, p4_descendants)}
 
 _TREE = """with recursive src as (
   select coalesce(source_fingerprint, '') f, regexp_replace(code, '[^0-9]', '', 'g') c, regexp_replace(parent_code, '[^0-9]', '', 'g') p from cpv_profiles),

@@ -4,6 +4,7 @@ from hypothesis import given, settings, strategies as st
 
 from rillway.operators.nested import LBRACE, LBRACK, structural_index
 from rillway.operators.records import cpv8, notice_entities
+from rillway.plans import training
 
 VALUES = st.recursive(
     st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8),
@@ -68,6 +69,39 @@ def test_entities_link_to_their_parents(spark):
     assert by[l3.parent_id].entity == "group"
 
 
+def test_every_value_is_in_a_linked_row(spark):
+    doc = {
+        "official-language": ["DE", None],
+        "notice-title": {"deu": "Titel"},
+        "main-classification-proc": "45000000-7",
+        "lots": [{"lot-id": "L1", "title": "Los", "award-criteria": [{"type": "price", "weight": 60}, {"type": "quality", "weight": 40}], "classification": {"scheme": "nuts", "code": "DE229"}, "items": [{"item-no": 1, "quantity": 3, "classification": {"code": "44000000"}}]}],
+    }
+    rows = notice_entities(spark.createDataFrame([(1, json.dumps(doc)), (2, "[]")], "id long, j string"), "id", "j").collect()
+    by = {r.node_id: r for r in rows}
+    assert len(by) == len(rows) and {r.row_id for r in rows} == {1}
+    above = lambda r: (by[r.parent_id].entity, by[r.parent_id].ref)
+    assert [r.entity for r in rows if r.parent_id is None] == ["notice"]
+    assert {(r.value, *above(r)) for r in rows if r.entity == "code"} == {("45000000", "notice", None), ("44000000", "item", "1")}
+    assert {(r.ref, r.value, *above(r)) for r in rows if r.entity == "criterion"} == {("price", "60", "lot", "L1"), ("quality", "40", "lot", "L1")}
+    assert sorted((r.ref, str(r.value), above(r)[0]) for r in rows if r.entity == "field") == [
+        ("classification.code", "DE229", "lot"), ("classification.scheme", "nuts", "lot"), ("notice-title.deu", "Titel", "notice"), ("official-language", "DE", "notice"), ("official-language", "None", "notice"), ("title", "Los", "lot")
+    ]
+
+
+def test_p1_tables_are_linked(spark, tables):
+    notices = {(r.notice_row_id, r.node_id) for r in training.p1_notices(spark, tables).collect()}
+    assert len(notices) == spark.read.parquet(f"{tables}/ted_notices.parquet").count()
+    lots = {(r.notice_row_id, r.node_id): r.parent_id for r in training.p1_lots(spark, tables).collect()}
+    items = {(r.notice_row_id, r.node_id): r.parent_id for r in training.p1_items(spark, tables).collect()}
+    criteria = {(r.notice_row_id, r.node_id): r.parent_id for r in training.p1_criteria(spark, tables).collect()}
+    codes = {(r.notice_row_id, r.node_id): r.parent_id for r in training.p1_codes(spark, tables).where("origin = 'raw'").collect()}
+    known = notices | lots.keys() | items.keys() | criteria.keys()
+    for child in (lots, items, criteria, codes):
+        assert child and all((n, p) in known for (n, _), p in child.items())
+    fields = training.p1_fields(spark, tables).collect()
+    assert {"official-language", "title"} <= {r.field for r in fields} and all((r.notice_row_id, r.parent_id) in known for r in fields)
+
+
 def test_code_lists(spark):
     df = spark.createDataFrame([(1, '["45000000-7", ["33000000"], []]'), (2, '[{"code": "55000000", "main": true}]'), (3, '"  66000000 "'), (4, "null"), (5, "nope")], "id long, j string")
     got = {(r.row_id, r.value) for r in notice_entities(df, "id", "j", code_list=True).collect()}

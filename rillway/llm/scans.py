@@ -41,7 +41,9 @@ MISREAD = (
 AFTER_HANGING = set("und oder bzw sowie and or et ou y e o i lub oraz ed en of och eller και ή и или".split())
 JOINT = "\x01"
 HYPHENS = "-‐‑¬\xad"
-RATIO, LEAST, CLEAN = 8, 4, 0.1
+CLEAN, DIGIT_PRIOR, ODDS = 0.1, 12.0, 2.0
+#: Candidates of up to 4, up to 7 and more letters that count as misreadings before any is seen.
+PSEUDO = (1.0, 20.0, 100.0)
 WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 #: Probabilities of each feature's values, in body and frame, before training.
 PRIOR = {
@@ -232,14 +234,20 @@ def put_back(para: str, right: dict[tuple[str, str], str]) -> str:
 
 def undo(word: str) -> set[str]:
     """Words that could have been misread as word: one misreading undone, at one place or at all places where it can have been."""
-    out = set()
-    for good, bad in MISREAD:
-        i = word.find(bad)
+    return set(undone(word))
+
+
+def undone(word: str) -> dict[str, tuple[int, int]]:
+    """The words of undo, each with its misreading (number in MISREAD) and at how many places; the fewest places count."""
+    out: dict[str, tuple[int, int]] = {}
+    for kind, (good, bad) in enumerate(MISREAD):
+        i, places = word.find(bad), word.count(bad)
         while i >= 0:
-            out.add(word[:i] + good + word[i + len(bad) :])
+            out.setdefault(word[:i] + good + word[i + len(bad) :], (kind, 1))
             i = word.find(bad, i + 1)
-        out.add(word.replace(bad, good))
-    out.discard(word)
+        if places > 1:
+            out.setdefault(word.replace(bad, good), (kind, places))
+    out.pop(word, None)
     return out
 
 
@@ -311,7 +319,9 @@ def findings(df: DataFrame, key: str, text: str, doc: str, program: str) -> tupl
     """
     scratch = Scratch(df.sparkSession)
     lines = scratch.cut(read_lines(df, key, text, doc, program))
-    scanned = lines.where("size(frame) > 0").select("doc").distinct().withColumn("scanned", F.lit(1))
+    # signs of scanning: a line of the frame, a broken word, or a digit between small letters
+    sign = (F.size("frame") > 0) | F.exists("paras", lambda p: F.contains(p, F.lit(JOINT)) | p.rlike(r"\p{Ll}[0-9]\p{Ll}"))
+    scanned = lines.where(sign).select("doc").distinct().withColumn("scanned", F.lit(1))
     flat = lines.join(scanned, "doc", "left").select("key", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.explode(F.flatten(F.transform("paras", lambda p: F.split(p, " ")))).alias("token"))
     strip = lambda c: F.regexp_replace(c, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     tokens = scratch.cut(
@@ -357,20 +367,43 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
 
 
 def misread_words(vocab: DataFrame) -> DataFrame:
-    """(word, right) from a vocabulary (word, n, clean) of all texts: words that a misreading made out of a far more frequent one.
-
-    clean counts the uses in documents without a page frame; a word that is at home there is no misreading.
+    """(word, right) from a vocabulary (word, n, clean) of all texts: words that a misreading made out of more frequent ones.
+
+    clean counts the uses in documents without any sign of scanning; a word with more than the share CLEAN of its uses there
+    is at home there and no misreading, however many uses it has. The others are judged by the log odds of two models: a
+    misreading of right, whose expected number is right's uses times the measured rate of that misreading, to the power
+    of the places; or a word of its own, of which there are many with few uses. Words with a digit within are hardly
+    ever their own; for words of letters the prior is measured by length, from candidates that are at home in clean
+    documents and such as never occur there.
     """
 
     def guess(batches):
         for b in batches:
             for i in range(0, len(b), 1000):  # in slices, as a word has many candidates
                 part = b.iloc[i : i + 1000]
-                rows = [(w, n, g) for w, n in zip(part["word"], part["n"]) if len(w) >= 3 and sum(map(str.isalpha, w)) >= 2 for g in undo(w)]
-                yield pd.DataFrame(rows, columns=["word", "n", "right"])
+                rows = [(w, n, c, g, k, p) for w, n, c in zip(part["word"], part["n"], part["clean"]) if len(w) >= 3 and sum(map(str.isalpha, w)) >= 2 for g, (k, p) in undone(w).items()]
+                yield pd.DataFrame(rows, columns=["word", "n", "clean", "right", "kind", "places"])
 
-    often = vocab.where(f"n >= {LEAST}").select(F.col("word").alias("right"), F.col("n").alias("m"))
+    scratch = Scratch(vocab.sparkSession)
+    often = vocab.select(F.col("word").alias("right"), F.col("n").alias("m"))
     # Spark takes the size of guesses for that of the words, so the join must not be left to its estimate
-    pairs = vocab.where(f"clean <= 1 or clean <= {CLEAN} * n").mapInPandas(guess, "word string, n long, right string").join(often.hint("merge"), "right").where(f"m >= {RATIO} * n")
-    w = Window.partitionBy("word").orderBy(F.desc("m"), "right")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "right")
+    pairs = scratch.cut(
+        vocab.mapInPandas(guess, "word string, n long, clean long, right string, kind int, places int").join(often.hint("merge"), "right").where("m > n")
+        .withColumn("own", F.col("clean") > CLEAN * F.col("n")).withColumn("digit", F.col("word").rlike(r"\d"))
+        .withColumn("size", F.when(F.length("word") < 5, 0).when(F.length("word") < 8, 1).otherwise(2))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("m"), "right")))
+    )
+    # small tables: a row for each misreading and for each class of length
+    rates = pairs.where("not own and places = 1 and nth = 1").groupBy("kind").agg(((F.sum("n") + 0.1) / (F.sum(F.col("m") + F.col("n")) + 10)).alias("rate"))
+    priors = pairs.where("not digit").groupBy("size").agg((F.log(F.count_if(~F.col("own")) + F.element_at(F.array(*map(F.lit, PSEUDO)), F.col("size") + 1)) - F.log(F.count_if("own") + 1.0)).alias("prior"))
+    scored = pairs.where("not own").join(F.broadcast(rates), "kind", "left").join(F.broadcast(priors), "size", "left")
+    mean = F.pow(F.coalesce("rate", F.lit(0.01)), F.col("places")) * (F.col("m") + F.col("n"))
+    n = F.col("n")
+    misread = n * (F.log(mean) - F.log1p(mean)) - F.log1p(mean)
+    own = -F.log(n * (n + 1.0))
+    prior = F.when(F.col("digit"), DIGIT_PRIOR).otherwise(F.coalesce("prior", F.lit(0.0)))
+    scored = scratch.cut(scored.withColumn("score", F.round(misread - own + prior, 6)).withColumn("mean", mean).where(f"score > {ODDS}").select("word", "right", "m", "mean"))
+    # what is misread itself is no word to go back to; of several others the one that gives the most misreadings is it
+    sound = scored.join(scored.select(F.col("word").alias("right")).distinct().hint("merge"), "right", "left_anti")
+    w = Window.partitionBy("word").orderBy(F.desc(F.round("mean", 6)), F.desc("m"), "right")
+    return sound.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "right")

@@ -145,3 +145,14 @@ def test_p3_paragraphs(spark, tables):
         ids = {r[0] for r in spark.read.parquet(f"{tables}/{name}.parquet").where("trim(text) <> ''").select(key).collect()}
         mine = {r.row_id for r in rows if r.item_table == name}
         assert mine <= ids and (mine == ids if name == "doc_sections" else len(mine) + sum(r.n_rows - 1 for r in rows if r.item_table == name) >= len(ids) * 0.9)
+
+
+def test_misread_words_of_all_sizes(spark):
+    """Clean evidence and counts in the same proportion give the same answer; rare words are repaired, words at home in clean documents aren't."""
+    one = [("trasporto", 21, 9), ("trasport0", 3, 0), ("vägarbeten", 3, 1), ("vägarbet3n", 1, 0), ("levering", 50, 20), ("1evering", 1, 0), ("Ievering", 2, 0), ("dcr", 10, 1), ("der", 500, 200), ("van", 60, 12), ("von", 240, 100), ("strasse0", 5, 1), ("strasseo", 50, 20)]
+    for times in (1, 10):
+        got = {r.word: r.right for r in scans.misread_words(spark.createDataFrame([(w, n * times, c * times) for w, n, c in one], "word string, n long, clean long")).collect()}
+        assert got["trasport0"] == "trasporto" and got["1evering"] == got["Ievering"] == "levering"
+        assert not {"van", "von", "der", "levering", "strasse0", "strasseo"} & got.keys()
+    few = spark.createDataFrame([("trasporto", 2, 1), ("trasport0", 1, 0)], "word string, n long, clean long")
+    assert [(r.word, r.right) for r in scans.misread_words(few).collect()] == [("trasport0", "trasporto")]

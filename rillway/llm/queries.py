@@ -48,10 +48,9 @@ def _p7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Items that were cut; whether a stretch without white space exceeds the limit is checked where a piece was cut in mid-word."""
-    hard = F.exists("pieces", lambda p: p["cut"] == "char")
+    """Items that were cut, and whether a stretch without white space exceeds the limit."""
     stretch = F.array_max(F.transform(F.split("text", r"(?U)\s+"), lambda w: F.length(w)))
-    return _p7(spark, d).where("size(pieces) > 1").select("item_table", "row_id", F.when(hard & (stretch > F.col("max_chars")), 1).otherwise(0).alias("unbroken"))
+    return _p7(spark, d).where("size(pieces) > 1").select("item_table", "row_id", F.when(stretch > F.col("max_chars"), 1).otherwise(0).alias("unbroken"))
 
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:

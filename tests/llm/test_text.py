@@ -156,3 +156,13 @@ def test_misread_words_of_all_sizes(spark):
         assert not {"van", "von", "der", "levering", "strasse0", "strasseo"} & got.keys()
     few = spark.createDataFrame([("trasporto", 2, 1), ("trasport0", 1, 0)], "word string, n long, clean long")
     assert [(r.word, r.right) for r in scans.misread_words(few).collect()] == [("trasport0", "trasporto")]
+
+
+def test_p7_stretch_of_stops(spark, tmp_path):
+    """A stretch without white space that only has cuts after stops is unbroken all the same."""
+    texts = [(1, "." * 150), (2, "主席问。" * 40), (3, "wort " * 40), (4, "kurz")]
+    spark.createDataFrame(texts, "section_row_id long, text string").write.parquet(str(tmp_path / "doc_sections.parquet"))
+    spark.createDataFrame(texts, "paragraph_row_id long, text string").write.parquet(str(tmp_path / "doc_paragraphs.parquet"))
+    spark.createDataFrame([("doc_sections", 100, 10), ("doc_paragraphs", 100, 10)], "item_table string, max_chars int, overlap_chars int").write.parquet(str(tmp_path / "split_limits.parquet"))
+    got = {(r.item_table, r.row_id): r.unbroken for r in queries.p7_found(spark, str(tmp_path)).collect()}
+    assert got == {(t, i): int(i < 3) for t in ("doc_sections", "doc_paragraphs") for i in (1, 2, 3)}

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LBRACE, RBRACE, LBRACK, RBRACK, COLON, COMMA, STRING, SCALAR, START = range(9)
 BLOCK_BYTES = 4 << 20
@@ -35,15 +37,34 @@ class JsonIndex:
     key: np.ndarray
     value: np.ndarray
 
-    def text(self, i: int) -> str | None:
-        """The string or scalar at token i as text; None for null, brackets and -1."""
-        if i < 0 or self.kind[i] < STRING:
-            return None
-        raw = self.data[self.start[i] : self.end[i]]
-        if self.kind[i] == STRING:
-            body = raw[1:-1]
-            return json.loads(raw) if b"\\" in body else body.decode()
-        return None if raw == b"null" else raw.decode()
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The strings and scalars at tokens as text; null for null, brackets and -1. Only those with escapes are parsed one by one."""
+        at = np.asarray(at, np.int64)
+        ok = at >= 0
+        ok[ok] = self.kind[at[ok]] >= STRING
+        which, back = np.unique(at[ok], return_inverse=True)
+        a = np.frombuffer(self.data, np.uint8)
+        quoted = self.kind[which] == STRING
+        start, end = self.start[which] + quoted, self.end[which] - quoted
+        out = spans(a, start, end).cast(pa.string())
+        slashes = np.concatenate([[0], np.cumsum(a == 92)])
+        escaped = quoted & (slashes[end] > slashes[start])
+        if escaped.any():
+            parsed = [json.loads(self.data[self.start[t] : self.end[t]]).encode("utf-8", "replace").decode() for t in which[escaped]]
+            out = pc.replace_with_mask(out, pa.array(escaped), pa.array(parsed, pa.string()))
+        if not quoted.all():
+            out = pc.if_else(pc.and_(pa.array(~quoted), pc.equal(out, "null")), pa.scalar(None, pa.string()), out)
+        place = np.zeros(len(at), np.int64)
+        place[ok] = back
+        return out.take(pa.array(place, mask=~ok)) if len(out) else pa.nulls(len(at), pa.string())
+
+
+def spans(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes between start and end of each span, gathered at once."""
+    n = (end - start).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(start - off[:-1], n) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(a[at])])
 
 
 def structural_index(records: list[bytes]) -> JsonIndex:
@@ -145,13 +166,11 @@ def structural_index(records: list[bytes]) -> JsonIndex:
         False,
     )
     valid[doc[~good]] = False
-    seen: dict[bytes, bool] = {}
-    for i in np.nonzero(kind == SCALAR)[0]:
-        raw = data[tok[i] : end[i]]
-        if raw not in seen:
-            seen[raw] = bool(_SCALAR.match(raw))
-        if not seen[raw]:
-            valid[doc[i]] = False
+    scalars = np.nonzero(kind == SCALAR)[0]
+    if len(scalars):
+        forms = spans(a, tok[scalars], end[scalars]).dictionary_encode()
+        sound = np.array([bool(_SCALAR.match(x)) for x in forms.dictionary.to_pylist()])
+        valid[doc[scalars[~sound[forms.indices.to_numpy()]]]] = False
     key = np.where(starts_value & ~is_key & (box == LBRACE), np.arange(m) - 2, -1)
     return JsonIndex(data, valid, doc, kind, tok, end, level, parent, key, starts_value & ~is_key)
 
@@ -171,10 +190,44 @@ def blocks(rows: list[tuple[int, bytes]], limit: int = BLOCK_BYTES) -> Iterator[
 
 def key_texts(ix: JsonIndex) -> tuple[np.ndarray, list[str]]:
     """Number of each token's key in a list of the distinct keys; -1 for none."""
-    names: dict[bytes, int] = {}
     out = np.full(len(ix.kind), -1, np.int64)
-    for i in np.nonzero(ix.key >= 0)[0]:
-        k = ix.key[i]
-        raw = ix.data[ix.start[k] : ix.end[k]]
-        out[i] = names.setdefault(raw, len(names))
-    return out, [json.loads(x) if b"\\" in x else x[1:-1].decode() for x in names]
+    at = np.nonzero(ix.key >= 0)[0]
+    if not len(at):
+        return out, []
+    names = ix.texts(ix.key[at]).dictionary_encode()
+    out[at] = names.indices.to_numpy()
+    return out, names.dictionary.to_pylist()
+
+
+def indexed(rows: list[tuple[int, bytes]], plain: bool = False) -> Iterator[tuple[np.ndarray, JsonIndex]]:
+    """(row numbers, index) of a block of (number, record), in which no string holds an encoded container any more.
+
+    A string that is itself JSON of an object, or of an array with objects in it (with plain, of any array), is put into its record
+    as that object or array, and the records changed so are indexed as a block of their own, until none is left; in
+    the index of the block they came from they count as invalid.
+    """
+    while rows:
+        ix = structural_index([r for _, r in rows])
+        numbers = np.array([i for i, _ in rows])
+        a = np.frombuffer(ix.data, np.uint8)
+        at = np.nonzero(ix.value & (ix.kind == STRING) & ix.valid[ix.doc])[0]
+        at = at[np.isin(a[np.minimum(ix.start[at] + 1, len(a) - 1)], np.frombuffer(b"[{ \\", np.uint8))]
+        inner = [(t, x.strip().encode()) for t, x in zip(at.tolist(), ix.texts(at).to_pylist()) if x.strip()[:1] in ("{", "[") and (plain or "{" in x)] if len(at) else []
+        if inner:
+            good = structural_index([x for _, x in inner]).valid
+            inner = [x for x, ok in zip(inner, good) if ok]
+        changed: dict[int, list[tuple[int, bytes]]] = {}
+        for t, x in inner:
+            changed.setdefault(int(ix.doc[t]), []).append((t, x))
+        again = []
+        for d, parts in changed.items():
+            begin = int(ix.start[np.searchsorted(ix.doc, d)])
+            out = []
+            for t, x in parts:
+                out += [ix.data[begin : ix.start[t]], x]
+                begin = int(ix.end[t])
+            last = int(ix.end[np.searchsorted(ix.doc, d, "right") - 1])
+            again.append((rows[d][0], b"".join([*out, ix.data[begin:last]])))
+        ix.valid[list(changed)] = False
+        yield numbers, ix
+        rows = again

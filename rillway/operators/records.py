@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rillway.operators.nested import LBRACE, LBRACK, SCALAR, STRING, JsonIndex, blocks, key_texts, structural_index
+from rillway.operators.nested import LBRACE, LBRACK, SCALAR, STRING, JsonIndex, blocks, indexed, key_texts
 
 CODE = re.compile(r"\s*([0-9]{8})(?:-[0-9])?\s*\Z")
 #: Names of the record format, fixed values.
@@ -45,8 +46,29 @@ def _down(ix: JsonIndex, own: np.ndarray) -> np.ndarray:
     return got
 
 
-def _entities(ix: JsonIndex, all_codes: bool, kinds: tuple[str, ...]) -> Iterator[tuple]:
-    """(record, entity, node, parent entity node or None, ref, lot_ref, value) of the valid records of a block."""
+def _paths(ix: JsonIndex, key: np.ndarray, names: list[str], stop: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Number of each token's path of keys since the last token of stop, in a list of the different paths."""
+    paths, known = [""], {(0, -1): 0}
+    out = np.zeros(len(ix.kind), np.int64)
+    for d in range(0, int(ix.level.max(initial=0)) + 1):
+        at = np.nonzero((ix.level == d) & ~stop)[0]
+        above = np.where(ix.parent[at] >= 0, out[np.maximum(ix.parent[at], 0)], 0)
+        pairs, back = np.unique(np.stack([above, key[at]]), axis=1, return_inverse=True)
+        number = np.zeros(pairs.shape[1], np.int64)
+        for j, (up, k) in enumerate(pairs.T.tolist()):
+            if k < 0:
+                number[j] = up
+            else:
+                if (up, k) not in known:
+                    known[up, k] = len(paths)
+                    paths.append(f"{paths[up]}.{names[k]}" if paths[up] else names[k])
+                number[j] = known[up, k]
+        out[at] = number[back.reshape(-1)]
+    return out, paths
+
+
+def _entities(ix: JsonIndex, ids_of: np.ndarray, all_codes: bool, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The linked rows of the valid records of a block, a batch for each kind; ids_of has the row id of each record."""
     m = len(ix.kind)
     key, names = key_texts(ix)
     number = {x: i for i, x in enumerate(names)}
@@ -84,7 +106,8 @@ def _entities(ix: JsonIndex, all_codes: bool, kinds: tuple[str, ...]) -> Iterato
     holds_object[ix.parent[obj & (ix.parent >= 0)]] = True
     is_notice = good & (ix.parent < 0) & ((ix.kind == LBRACE) | ((ix.kind == LBRACK) & holds_object)) & ~is_lot & ~is_group & ~is_item & (not all_codes)
     lot = _down(ix, np.where(is_lot & (lot_at >= 0), number_of, -1))
-    entity = _down(ix, np.where(is_notice | is_lot | is_group | is_item | is_criterion, number_of, -1))
+    is_entity = is_notice | is_lot | is_group | is_item | is_criterion
+    entity = _down(ix, np.where(is_entity, number_of, -1))
     up = np.where(ix.parent >= 0, entity[parent], -1)
     base = np.searchsorted(ix.doc, np.arange(len(ix.valid)))
     local = number_of - base[ix.doc]
@@ -96,45 +119,47 @@ def _entities(ix: JsonIndex, all_codes: bool, kinds: tuple[str, ...]) -> Iterato
             at = ids[name][which]
             told[at[at >= 0]] = True
 
-    def row(i, name, ref, value, above):
-        lot_ref = ix.text(lot_at[lot[i]]) if lot[i] >= 0 else ""
-        return int(ix.doc[i]), name, int(local[i]), int(local[above]) if above >= 0 else None, ref, lot_ref or "", value
-
+    def batch(name: str, at: np.ndarray, ref: pa.Array, value: pa.Array, above: np.ndarray) -> pa.RecordBatch:
+        lots = np.where(lot[at] >= 0, lot_at[np.maximum(lot[at], 0)], -1)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids_of[ix.doc[at]], pa.int64()), pa.repeat(name, len(at)), pa.array(local[at], pa.int32()), pa.array(local[np.maximum(above, 0)].astype(np.int32), mask=above < 0),
+                ref, pc.fill_null(ix.texts(lots), ""), value,
+            ],
+            schema=ARROW,
+        )
+
+    nothing = lambda at: pa.nulls(len(at), pa.string())
     if not all_codes:
         tables = (
             ("notice", is_notice, None, None), ("lot", is_lot, lot_at, None), ("group", is_group & ~is_lot, group_at, None),
             ("item", is_item & ~is_lot & ~is_group, ids[ITEM_ID], ids[QUANTITY]), ("criterion", is_criterion, ids[CRITERION_TYPE], ids[CRITERION_WEIGHT]),
-        )
+        )
         for name, which, ref, value in tables:
             if name in kinds:
-                for i in np.nonzero(which)[0]:
-                    yield row(i, name, None if ref is None else ix.text(ref[i]), None if value is None else ix.text(value[i]), up[i])
+                at = np.nonzero(which)[0]
+                yield batch(name, at, nothing(at) if ref is None else ix.texts(ref[at]), nothing(at) if value is None else ix.texts(value[at]), up[at])
 
     inside = good.copy() if all_codes else _down(ix, np.where(having(CLASS_KEYS), number_of, -1)) >= 0
-    under_code = having(("code",))
     named = (key >= 0) & ~having(("code", "main", "additional", *CLASS_KEYS))
     wrong = _down(ix, np.where(named & inside, number_of, -1)) >= 0 if inside.any() else inside
     leaves = np.nonzero(good & inside & ~wrong & (ix.kind >= STRING))[0]
-    for i in leaves:
-        scheme = ids["scheme"][ix.parent[i]] if under_code[i] and ix.parent[i] >= 0 else -1
-        if scheme >= 0:
-            s = ix.text(scheme)
-            if s is not None and s.strip().lower() != "cpv":
-                continue
-        code = cpv8(ix.text(i), ix.kind[i] == SCALAR)
-        if code:
-            told[i] = True
-            if "code" in kinds:
-                yield row(i, "code", None, code, entity[i])
+    schemes = np.where(having(("code",))[leaves] & (ix.parent[leaves] >= 0), ids["scheme"][parent[leaves]], -1)
+    scheme = pc.utf8_lower(pc.utf8_trim_whitespace(pc.fill_null(ix.texts(schemes), "cpv")))
+    leaves = leaves[pc.equal(scheme, "cpv").to_numpy(zero_copy_only=False)] if len(leaves) else leaves
+    forms = ix.texts(leaves).dictionary_encode()
+    as_text, as_number = (np.array([cpv8(x, n) for x in forms.dictionary.to_pylist()] + [None], object) for n in (False, True))
+    at = pc.fill_null(forms.indices, len(forms.dictionary)).to_numpy()
+    code = np.where(ix.kind[leaves] == SCALAR, as_number[at], as_text[at])
+    have = np.array([c is not None for c in code], bool)
+    told[leaves[have]] = True
+    if "code" in kinds:
+        yield batch("code", leaves[have], nothing(leaves[have]), pa.array(code[have], pa.string()), entity[leaves[have]])
     if all_codes or "field" not in kinds:
         return
-    for i in np.nonzero(good & (ix.kind >= STRING) & ~told & (ix.parent >= 0))[0]:
-        path, at = [], i
-        while at >= 0 and at != entity[i]:
-            if key[at] >= 0:
-                path.append(names[key[at]])
-            at = ix.parent[at]
-        yield row(i, "field", ".".join(reversed(path)), ix.text(i), entity[i])
+    at = np.nonzero(good & (ix.kind >= STRING) & ~told & (ix.parent >= 0))[0]
+    path, paths = _paths(ix, key, names, is_entity)
+    yield batch("field", at, pa.array(paths, pa.string()).take(pa.array(path[at])), ix.texts(at), entity[at])
 
 
 def notice_entities(df: DataFrame, id_col: str, json_col: str, code_list: bool = False, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -146,17 +171,15 @@ def notice_entities(df: DataFrame, id_col: str, json_col: str, code_list: bool =
     lots), value (the code's eight digits, an item's quantity, a criterion's weight, or a field's text). Fields are all
     strings, numbers and literals that no other row holds, so a code of another scheme is one, too.
     With code_list the whole record is a list of codes, which have no parent in it. Null, empty and invalid records give
-    no rows; a lot without an id takes the id of the lot around it.
+    no rows; a lot without an id takes the id of the lot around it. A string that holds encoded objects counts as those objects.
     """
 
     def run(batches):
         for b in batches:
             rows = [(i, x.encode()) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x is not None]
             for part in blocks(rows):
-                ix = structural_index([r for _, r in part])
-                out = [(part[d][0], *rest) for d, *rest in _entities(ix, code_list, kinds)]
-                cols = list(zip(*out)) if out else [()] * len(ARROW)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ARROW)], schema=ARROW)
+                for numbers, ix in indexed(part, code_list):
+                    yield from _entities(ix, numbers, code_list, kinds)
 
     src = df.selectExpr(f"cast(`{id_col}` as bigint) as row_id", f"cast(`{json_col}` as string) as body")
     return src.mapInArrow(run, SCHEMA)

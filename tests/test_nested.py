@@ -111,3 +111,15 @@ def test_code_lists(spark):
 def test_cpv8():
     assert [cpv8(x) for x in ("45000000", "45000000-1", "4500000", "450000001", "a45000000", None)] == ["45000000", "45000000", None, None, None, None]
     assert cpv8("9000000", True) == "09000000"
+
+
+def test_encoded_objects_are_decoded(spark):
+    inner = json.dumps([{"lot-id": "L1", "classification": "45000000", "items": json.dumps([{"item-no": 1, "quantity": 2, "classification": "33000000-1"}])}, {"lot-id": "L2", "title": "ä\t[x]"}])
+    df = spark.createDataFrame([(1, json.dumps({"title": "[1] is no list", "lots": inner})), (2, json.dumps(json.dumps({"main-classification-proc": "44000000"}))), (3, json.dumps({"lots": "[{broken"}))], "id long, j string")
+    rows = notice_entities(df, "id", "j").collect()
+    by = {(r.row_id, r.node_id): r for r in rows}
+    assert len(by) == len(rows)
+    assert {(r.row_id, r.lot_ref, r.value) for r in rows if r.entity == "code"} == {(1, "L1", "45000000"), (1, "L1", "33000000"), (2, "", "44000000")}
+    assert {(r.row_id, r.ref, r.value) for r in rows if r.entity == "field"} == {(1, "title", "[1] is no list"), (1, "title", "ä\t[x]"), (3, "lots", "[{broken")}
+    item = next(r for r in rows if r.entity == "item")
+    assert by[1, item.parent_id].ref == "L1" and by[1, by[1, item.parent_id].parent_id].entity == "notice"

@@ -1,7 +1,7 @@
 """Repair of text from scanned pages: lines of the page frame, broken words and misread letters.
 
 Lines are labelled body, frame or break by a hidden Markov model over layout features, whose parameters are trained
-by expectation maximisation on a bounded sample of sections (SAMPLE_SECTIONS). Without the frame, body lines are put
+by expectation maximisation over all sections; the executors send back only expected counts. Without the frame, body lines are put
 together to paragraphs; words broken at line ends are joined. Misread words are found against the vocabulary of
 all sections: a rare word that becomes a much more frequent one by undoing a misreading of letters.
 """
@@ -15,14 +15,17 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from rillway.llm.names import slips
-from rillway.session import Scratch
+from rillway.session import Scratch, spread
 
 BODY, FRAME, BREAK = range(3)
-SAMPLE_SECTIONS, ROUNDS = 400, 4
+STATES, ROUNDS, STRENGTH = 3, 3, 60.0
+#: Bits of the filter that keeps guesses which are no word at all from the join, and its hashes; the join itself is exact.
+FILTER_BITS, HASHES, FILTER_BLOCK = 1 << 26, 2, 1 << 15
 #: Forms of page numbers; # stands for an arabic or roman number.
 PAGE_FORMS = ("seite # von #", "page # of #", "page # sur #", "página # de #", "pagina # di #", "pagina # van #", "strona # z #", "sida # av #", "σελίδα # από #", "стр. # от #", "seite #", "page #", "s. #", "p. #", "- # -", "– # –", "[#]", "#/#", "# / #")
 _N = r"(?:\d{1,4}|[ivxlcm]{1,7}|[IVXLCM]{1,7})"
@@ -45,15 +48,18 @@ CLEAN, DIGIT_PRIOR, ODDS = 0.1, 12.0, 2.0
 #: Candidates of up to 4, up to 7 and more letters that count as misreadings before any is seen.
 PSEUDO = (1.0, 20.0, 100.0)
 WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
-#: Probabilities of each feature's values, in body and frame, before training.
+#: Probabilities of each feature's values, in body, frame and break, before training.
 PRIOR = {
-    "shape": ((0.97, 0.001, 0.002, 0.007, 0.02), (0.62, 0.28, 0.098, 0.001, 0.001)),
-    "repeat": ((0.9, 0.07, 0.03), (0.25, 0.15, 0.6)),
-    "names": ((0.998, 0.002), (0.45, 0.55)),
-    "loose": ((0.97, 0.03), (0.15, 0.85)),
-    "ends": ((0.75, 0.25), (0.99, 0.01)),
-    "tail": ((0.999, 0.001), (0.75, 0.25)),
+    "shape": ((0.97, 0.001, 0.002, 0.007, 0.02), (0.62, 0.28, 0.098, 0.001, 0.001), (0.996, 0.001, 0.001, 0.001, 0.001)),
+    "repeat": ((0.9, 0.07, 0.03), (0.25, 0.15, 0.6), (0.998, 0.001, 0.001)),
+    "names": ((0.998, 0.002), (0.45, 0.55), (0.999, 0.001)),
+    "loose": ((0.97, 0.03), (0.15, 0.85), (0.999, 0.001)),
+    "ends": ((0.75, 0.25), (0.99, 0.01), (0.999, 0.001)),
+    "tail": ((0.999, 0.001), (0.75, 0.25), (0.999, 0.001)),
+    "blank": ((0.9999, 0.0001), (0.9999, 0.0001), (0.0001, 0.9999)),
 }
+MOVE = ((0.8, 0.03, 0.17), (0.45, 0.1, 0.45), (0.85, 0.12, 0.03))
+FIRST = (0.9, 0.08, 0.02)
 
 
 def line_key(line: str) -> str:
@@ -69,7 +75,8 @@ def may_head(line: str) -> bool:
 def features(lines: list[str], keys: dict[str, int], program: str) -> np.ndarray:
     """(lines x features) values; keys are the repeated line keys of the document with their counts."""
     n = len(lines)
-    out = np.zeros((n, len(PRIOR)), np.int64)
+    out = np.zeros((n, len(PRIOR)), np.uint8)
+    out[:, 6] = [not x.strip() for x in lines]
     number = [bool(NUMBER.match(x)) for x in lines]
     prog = re.sub(r"\s+", " ", program or "").strip().casefold()
     heads = [k for k in keys if len(k) >= 6]
@@ -109,62 +116,99 @@ def features(lines: list[str], keys: dict[str, int], program: str) -> np.ndarray
     return out
 
 
+def padded(sections: list[np.ndarray], most: int = 256):
+    """(numbers, features (sections x lines x features), lengths) of sections of like length, so that little is padding."""
+    order = sorted(range(len(sections)), key=lambda i: len(sections[i]))
+    for k in range(0, len(order), most):
+        at = [i for i in order[k : k + most] if len(sections[i])]
+        if at:
+            n = np.array([len(sections[i]) for i in at])
+            f = np.zeros((len(at), n.max(), len(PRIOR)), np.uint8)
+            for j, i in enumerate(at):
+                f[j, : n[j]] = sections[i]
+            yield at, f, n
+
+
 class LineModel:
-    """Hidden Markov model of the non-blank lines of a section; blank lines are breaks."""
+    """Hidden Markov model of the lines of sections with the states BODY, FRAME and BREAK; sections are worked off many at a time."""
 
     def __init__(self):
-        self.emit = [np.log(np.array(v)) for v in PRIOR.values()]
-        self.move = np.log(np.array([[0.96, 0.04], [0.9, 0.1]]))
-        self.first = np.log(np.array([0.93, 0.07]))
+        self.emit = [np.array(v) for v in PRIOR.values()]
+        self.move, self.first = np.array(MOVE), np.array(FIRST)
 
     def scores(self, f: np.ndarray) -> np.ndarray:
-        return sum(e[:, f[:, k]] for k, e in enumerate(self.emit)).T
-
-    def posterior(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b, n = self.scores(f), len(f)
-        fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
-        fwd[0] = self.first + b[0]
-        for i in range(1, n):
-            fwd[i] = np.logaddexp.reduce(fwd[i - 1][:, None] + self.move, axis=0) + b[i]
-        for i in range(n - 2, -1, -1):
-            bwd[i] = np.logaddexp.reduce(self.move + b[i + 1] + bwd[i + 1], axis=1)
-        total = np.logaddexp.reduce(fwd[-1])
-        pair = np.exp(fwd[:-1, :, None] + self.move + (b[1:] + bwd[1:])[:, None, :] - total).sum(0) if n > 1 else np.zeros((2, 2))
-        return np.exp(fwd + bwd - total), pair
-
-    def train(self, sample: list[np.ndarray]) -> None:
-        """Expectation maximisation; the starting values count like some lines of their own, which keeps the states' meaning."""
-        strength = 60.0
-        for _ in range(ROUNDS):
-            counts = [np.exp(np.log(np.array(v))) * strength for v in PRIOR.values()]
-            pairs, first = np.array([[0.96, 0.04], [0.9, 0.1]]) * strength, np.array([0.93, 0.07]) * strength
-            for f in sample:
-                g, p = self.posterior(f)
-                pairs += p
-                first += g[0]
-                for k, c in enumerate(counts):
-                    for s in (0, 1):
-                        c[s] += np.bincount(f[:, k], weights=g[:, s], minlength=c.shape[1])
-            self.emit = [np.log(c / c.sum(1, keepdims=True)) for c in counts]
-            self.move, self.first = np.log(pairs / pairs.sum(1, keepdims=True)), np.log(first / first.sum())
+        b = np.ones((*f.shape[:2], STATES))
+        for k, e in enumerate(self.emit):
+            b *= e.T[f[:, :, k]]
+        return b
+
+    def expected(self, sections: list[np.ndarray]) -> np.ndarray:
+        """Expected counts of first states, moves and feature values over the sections, as one row of numbers."""
+        first, moves, counts = np.zeros(STATES), np.zeros((STATES, STATES)), [np.zeros(e.shape) for e in self.emit]
+        for _, f, n in padded(sections):
+            b = self.scores(f)
+            rows, t = len(n), f.shape[1]
+            fwd = np.zeros((rows, t, STATES))
+            now = self.first * b[:, 0]
+            fwd[:, 0] = now / now.sum(1, keepdims=True)
+            for i in range(1, t):
+                now = (fwd[:, i - 1] @ self.move) * b[:, i]
+                fwd[:, i] = now / now.sum(1, keepdims=True)
+            bwd = np.ones((rows, STATES))
+            post = np.zeros((rows, t, STATES))
+            for i in range(t - 1, -1, -1):
+                live = i < n
+                g = fwd[:, i] * bwd
+                post[live, i] = (g / g.sum(1, keepdims=True))[live]
+                if i:
+                    ahead = b[:, i] * bwd
+                    pair = fwd[:, i - 1][:, :, None] * self.move * ahead[:, None, :]
+                    moves += (pair / pair.sum((1, 2), keepdims=True))[live].sum(0)
+                    back = ahead @ self.move.T
+                    bwd = np.where(live[:, None], back / back.sum(1, keepdims=True), 1.0)
+            first += post[:, 0].sum(0)
+            for k, c in enumerate(counts):
+                for v in range(c.shape[1]):
+                    c[:, v] += post[f[:, :, k] == v].sum(0)
+        return np.concatenate([first, moves.ravel(), *[c.ravel() for c in counts]])
+
+    def update(self, counts: np.ndarray) -> None:
+        """New parameters from expected counts; the starting values count like STRENGTH lines of their own, which keeps the states' meaning."""
+        share = lambda c: c / c.sum(-1, keepdims=True)
+        self.first = share(counts[:STATES] + STRENGTH * np.array(FIRST))
+        at = STATES + STATES * STATES
+        self.move = share(counts[STATES:at].reshape(STATES, STATES) + STRENGTH * np.array(MOVE))
+        for k, v in enumerate(PRIOR.values()):
+            v = np.array(v)
+            self.emit[k] = share(counts[at : at + v.size].reshape(v.shape) + STRENGTH * v)
+            at += v.size
+
+    def labels(self, sections: list[np.ndarray]) -> list[np.ndarray]:
+        """BODY, FRAME or BREAK of each line of each section, by the Viterbi path."""
+        out = [np.zeros(0, np.int64) for _ in sections]
+        move = np.log(self.move)
+        for at, f, n in padded(sections):
+            b = np.log(self.scores(f))
+            rows, t = len(n), f.shape[1]
+            v, back = np.log(self.first) + b[:, 0], np.zeros((t, rows, STATES), np.int8)
+            best = v.copy()
+            for i in range(1, t):
+                m = v[:, :, None] + move
+                back[i] = m.argmax(1)
+                v = m.max(1) + b[:, i]
+                best = np.where((i < n)[:, None], v, best)
+            state = best.argmax(1)
+            path = np.zeros((t, rows), np.int64)
+            for i in range(t - 1, -1, -1):
+                path[i] = np.where(i < n, state, 0)
+                state = np.where((i < n) & (i > 0), back[i][np.arange(rows), state], state)
+            for j, k in enumerate(at):
+                out[k] = path[: n[j], j]
+        return out
 
     def label(self, lines: list[str], f: np.ndarray) -> np.ndarray:
-        """BODY, FRAME or BREAK of each line, by the Viterbi path."""
-        out = np.full(len(lines), BREAK)
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        if not at:
-            return out
-        b = self.scores(f[at])
-        v, back = self.first + b[0], []
-        for i in range(1, len(at)):
-            m = v[:, None] + self.move
-            back.append(m.argmax(0))
-            v = m.max(0) + b[i]
-        path = [int(v.argmax())]
-        for x in reversed(back):
-            path.append(int(x[path[-1]]))
-        out[at] = path[::-1]
-        return out
+        """The labels of one section."""
+        return self.labels([f])[0] if lines else np.zeros(0, np.int64)
 
 
 def bare(token: str) -> str:
@@ -276,38 +320,46 @@ def _slices(batches, size: int = 500):
             yield b.slice(i, size)
 
 
-def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str) -> DataFrame:
-    """(key, doc, frame, paras ARRAY<STRING>, first, last) of every text, by a model trained on a sample of df; frame, first and last are line numbers ARRAY<INT>."""
+def read_lines(df: DataFrame, key: str, text: str, doc: str, program: str, scratch: Scratch) -> DataFrame:
+    """(key, doc, frame, paras ARRAY<STRING>, first, last) of every text, by a model trained on all of them; frame, first and last are line numbers ARRAY<INT>."""
     src = _with_keys(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(doc).alias("doc"), F.coalesce(program, F.element_at(F.split(doc, "/"), 1)).alias("program")), "text", "doc")
-    model = LineModel()
-    sample = []
-    for r in src.where("text is not null").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_SECTIONS).collect():
-        lines = r.text.split("\n")
-        f = features(lines, {h.k: h.n for h in r.heads or []}, r.program)
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        if at:
-            sample.append(f[at])
-    model.train(sample)
+    wide = len(PRIOR)
 
-    def run(batches):
+    def look(batches):
         for b in _slices(batches):
-            out = []
+            rows = []
             for t, heads, prog in zip(*(b.column(c).to_pylist() for c in ("text", "heads", "program"))):
-                if not t:
-                    out.append(([], [], [], []))
-                    continue
-                lines = t.split("\n")
                 known = {h["k"]: h["n"] for h in heads} if heads is not None else {}
-                out.append(flow(lines, model.label(lines, features(lines, known, prog))))
-            paras, frame, first, last = zip(*out)
+                rows.append(features(t.split("\n"), known, prog).tobytes() if t else b"")
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc"), b.column("text"), pa.array(rows, pa.binary())], names=["key", "doc", "text", "layout"])
+
+    kind = df.select(key).schema[0].dataType.simpleString()
+    seen = scratch.cut(src.mapInArrow(look, f"key {kind}, doc string, text string, layout binary"))
+    model = LineModel()
+    unpack = lambda col: [np.frombuffer(x, np.uint8).reshape(-1, wide) for x in col]
+    for _ in range(ROUNDS):
+
+        def count(batches):
+            total = sum((model.expected(unpack(b["layout"])) for b in batches if len(b)), np.zeros(1))
+            if len(total) > 1:
+                yield pd.DataFrame({"counts": [total]})
+
+        got = [r.counts for r in seen.select("layout").mapInPandas(count, "counts array<double>").collect()]  # one short row a task
+        if got:
+            model.update(np.sum(got, axis=0))
+
+    def run(batches):
+        for b in _slices(batches):
+            labels = model.labels(unpack(b.column("layout").to_pylist()))
+            out = [flow(t.split("\n"), lab) if t else ([], [], [], []) for t, lab in zip(b.column("text").to_pylist(), labels)]
+            paras, frame, first, last = zip(*out) if out else ((), (), (), ())
             numbers = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), b.column("doc"), pa.array(frame, numbers), pa.array(paras, pa.list_(pa.string())), pa.array(first, numbers), pa.array(last, numbers)],
                 names=["key", "doc", "frame", "paras", "first", "last"],
             )
 
-    kind = df.select(key).schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"key {kind}, doc string, frame array<int>, paras array<string>, first array<int>, last array<int>")
+    return seen.mapInArrow(run, f"key {kind}, doc string, frame array<int>, paras array<string>, first array<int>, last array<int>")
 
 
 def findings(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[DataFrame, DataFrame]:
@@ -318,7 +370,7 @@ def findings(df: DataFrame, key: str, text: str, doc: str, program: str) -> tupl
     should read; why is 'broken', 'misread' or both with a plus. Null and empty texts have neither.
     """
     scratch = Scratch(df.sparkSession)
-    lines = scratch.cut(read_lines(df, key, text, doc, program))
+    lines = scratch.cut(read_lines(df, key, text, doc, program, scratch))
     # signs of scanning: a line of the frame, a broken word, or a digit between small letters
     sign = (F.size("frame") > 0) | F.exists("paras", lambda p: F.contains(p, F.lit(JOINT)) | p.rlike(r"\p{Ll}[0-9]\p{Ll}"))
     scanned = lines.where(sign).select("doc").distinct().withColumn("scanned", F.lit(1))
@@ -366,6 +418,32 @@ def repair(df: DataFrame, key: str, text: str, doc: str, program: str) -> tuple[
     return lines.join(right.hint("merge"), "key", "left").mapInArrow(run, lines.schema), words
 
 
+def _places(words: list[str]) -> np.ndarray:
+    """(words x HASHES) places of words in the filter."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    return np.stack([(h >> np.uint64(32 * k)) % np.uint64(FILTER_BITS) for k in range(HASHES)], 1).astype(np.int64)
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """Bits that are set for every word: a fixed FILTER_BITS / 8 bytes, whatever the number of words."""
+
+    def places(batches):
+        for b in batches:
+            at = np.unique(_places(list(b["word"])))
+            yield pd.DataFrame({"block": at // FILTER_BLOCK, "bit": (at % FILTER_BLOCK).astype(np.int32)})
+
+    def pack(batches):
+        for b in batches:
+            yield pd.DataFrame({"block": b["block"], "bytes": [np.packbits(np.isin(np.arange(FILTER_BLOCK), x)).tobytes() for x in b["bits"]]})
+
+    bits = words.select("word").mapInPandas(places, "block long, bit int").distinct().groupBy("block").agg(F.collect_list("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    size = FILTER_BLOCK // 8
+    for r in bits.mapInPandas(pack, "block long, bytes binary").toLocalIterator():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bytes, np.uint8)
+    return out
+
+
 def misread_words(vocab: DataFrame) -> DataFrame:
     """(word, right) from a vocabulary (word, n, clean) of all texts: words that a misreading made out of more frequent ones.
 
@@ -382,9 +460,15 @@ def misread_words(vocab: DataFrame) -> DataFrame:
             for i in range(0, len(b), 1000):  # in slices, as a word has many candidates
                 part = b.iloc[i : i + 1000]
                 rows = [(w, n, c, g, k, p) for w, n, c in zip(part["word"], part["n"], part["clean"]) if len(w) >= 3 and sum(map(str.isalpha, w)) >= 2 for g, (k, p) in undone(w).items()]
-                yield pd.DataFrame(rows, columns=["word", "n", "clean", "right", "kind", "places"])
+                out = pd.DataFrame(rows, columns=["word", "n", "clean", "right", "kind", "places"])
+                if len(out):
+                    at = _places(list(out["right"]))
+                    out = out[((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)]
+                yield out
 
     scratch = Scratch(vocab.sparkSession)
+    vocab = scratch.cut(spread(vocab))
+    bits = vocab.sparkSession.sparkContext.broadcast(word_filter(vocab))
     often = vocab.select(F.col("word").alias("right"), F.col("n").alias("m"))
     # Spark takes the size of guesses for that of the words, so the join must not be left to its estimate
     pairs = scratch.cut(

@@ -201,6 +201,14 @@ def train(rows: list[tuple[str, str]], sure: list[tuple[str, str]]) -> Model:
     return Model(per.astype(np.float32), bias.astype(np.float32), best[1], least)
 
 
+def drawn(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows with the smallest hash h. Only those below a bound that about 2n rows pass are sorted, so no task sends n rows of its own."""
+    total = rows.count()
+    if total > 2 * n:
+        rows = rows.where(F.col("h") < int(-(2**63) + 2**64 * (2 * n / total)))
+    return rows.orderBy("h", "k").limit(n)
+
+
 def fit_language_model(labelled: DataFrame, key: str, text: str, label: str, catalogue: DataFrame | None = None, more: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most sample_rows labelled rows, drawn by a hash of their key, and on a small catalogue with a column per language.
 
@@ -211,11 +219,11 @@ def fit_language_model(labelled: DataFrame, key: str, text: str, label: str, cat
     lang = codes[F.lower(F.trim(F.col(label)))]
     picked = labelled.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"), lang.alias("y")).where("y is not null and t is not null")
     votes: dict[str, Counter] = {}
-    for r in picked.orderBy("h", "k").limit(sample_rows).collect():
+    for r in drawn(picked, sample_rows).collect():
         votes.setdefault(" ".join(content_words(plain(r.t))), Counter())[r.y] += 1
     if more is not None:
         m = more.toDF("k", "t", "y").withColumn("h", F.xxhash64("k")).withColumn("y", codes[F.lower(F.trim(F.col("y")))]).where("y is not null and t is not null")
-        for r in m.orderBy("h", "k").limit(sample_rows // 4).collect():
+        for r in drawn(m, sample_rows // 4).collect():
             for s, e in sentences(r.t):
                 votes.setdefault(" ".join(content_words(plain(r.t[s:e]))), Counter())[r.y] += 1
     major = [(t, max(sorted(c), key=c.get), c) for t, c in sorted(votes.items())]
@@ -224,7 +232,7 @@ def fit_language_model(labelled: DataFrame, key: str, text: str, label: str, cat
     sure = [(t, y) for t, y, _ in major if t in agreed]
     if catalogue is not None:
         have = [c for c in catalogue.columns if c in CODES]
-        sure += [(r[c], CODES[c]) for r in catalogue.select(*have).limit(sample_rows).collect() for c in have if r[c]]
+        sure += [(r[c], CODES[c]) for r in catalogue.select(*have).orderBy(*have).limit(sample_rows).collect() for c in have if r[c]]
     return train(rows, sorted(sure))
 
 

@@ -15,35 +15,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillway.session import Scratch
 
-#: Items packed in one task at most (on average, items being dealt by hash), exchange rounds, and containers of a partition kept out of the exchange below this fill.
-PER_PARTITION, ROUNDS, FULL = 20_000, 2, 0.999
+#: Items packed in one task at most (on average, items being dealt by hash), and containers of a partition kept out of the exchange below this fill.
+PER_PARTITION, FULL = 20_000, 0.999
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Least number of containers for the sizes: the largest bound of the dual-feasible functions of threshold kind.
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Least number of containers for the sizes (each as often as counts says): the largest bound of the dual-feasible functions tried.
 
     For each threshold t up to half the capacity, items above capacity - t count as whole containers and items below
     t not at all; and items are also rounded to multiples of 1 / (k + 1). Both maps keep any full container at 1.
     """
     if not len(sizes):
         return 0
-    s = np.sort(np.asarray(sizes, np.int64))
-    sums = np.concatenate([[0], np.cumsum(s)])
+    s, back = np.unique(np.asarray(sizes, np.int64), return_inverse=True)
+    n = np.bincount(back, weights=counts).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(s * n)])
+    many = np.concatenate([[0], np.cumsum(n)])
     best = -(-int(sums[-1]) // capacity)
     ts = np.unique(np.concatenate([[1], s[2 * s <= capacity]]))
     lo, hi = np.searchsorted(s, ts, "left"), np.searchsorted(s, capacity - ts, "right")
-    whole = len(s) - hi
+    whole = many[-1] - many[hi]
     middle = sums[hi] - sums[np.minimum(lo, hi)]
     best = max(best, int((whole + -(-middle // capacity)).max()))
-    values, counts = np.unique(s, return_counts=True)
     for k in range(1, 21):
-        x = (k + 1) * values
-        exact = x % capacity == 0
-        part = np.where(exact, values * k, (x // capacity) * capacity)  # times k * capacity
-        best = max(best, -(-int((part * counts).sum()) // (k * capacity)))
+        x = (k + 1) * s
+        part = np.where(x % capacity == 0, s * k, (x // capacity) * capacity)  # times k * capacity
+        best = max(best, -(-int((part * n).sum()) // (k * capacity)))
     return best
 
 
+def least_containers(items: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(container_name, least): the bound over all items together, from how many parts there are of each size; sizes are at most the capacity."""
+    sizes = _pieces(items.select("item", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n")), capacities).groupBy("container_name", "capacity", "n").agg(F.count("*").alias("k"))
+
+    def bound(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"container_name": [g["container_name"].iloc[0]], "least": [lower_bound(g["n"].to_numpy(), int(g["capacity"].iloc[0]), g["k"].to_numpy())]})
+
+    return sizes.groupBy("container_name").applyInPandas(bound, "container_name string, least long")
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each item, by best-fit decreasing; items must not exceed the capacity."""
     out = np.zeros(len(sizes), np.int64)
@@ -117,16 +127,23 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
         return g[["container_name", "capacity", "part", "item", "part_no", "n", "bin", "bins", "bound", "loose"]]
 
     now = scratch.cut(dealt.groupBy("container_name", "part").applyInPandas(run, packed))
-    kept = None
-    for r in range(ROUNDS):
-        loose = {x["container_name"]: x["k"] for x in now.where("loose").groupBy("container_name").agg(F.count("*").alias("k")).collect()}
+    kept, r = None, 0
+    while True:
+        # partitions that use more containers than their bound, until there are none or an exchange saves none any more
+        loose = {x["container_name"]: (x["k"], x["used"]) for x in now.where("loose").groupBy("container_name").agg(F.count("*").alias("k"), F.count_distinct("part", "bin").alias("used")).collect()}
         if not loose:
             break
-        share = {k: max(1, -(-v // PER_PARTITION)) for k, v in loose.items()}
+        share = {k: max(1, -(-v // PER_PARTITION)) for k, (v, _) in loose.items()}
         m = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("container_name")]
-        fixed = now.where("not loose")
-        kept = fixed if kept is None else kept.unionByName(fixed)
         again = now.where("loose").select("container_name", "capacity", "item", "part_no", "n").withColumn("part", F.pmod(F.xxhash64(F.lit(r), "item", "part_no"), m) + (r + 1) * 1_000_000_000)
-        now = scratch.cut(again.groupBy("container_name", "part").applyInPandas(run, packed))
+        new = scratch.cut(again.groupBy("container_name", "part").applyInPandas(run, packed))
+        used = {x["container_name"]: x["used"] for x in new.groupBy("container_name").agg(F.count_distinct("part", "bin").alias("used")).collect()}
+        better = [k for k, (_, before) in loose.items() if used[k] < before]
+        gain = F.col("container_name").isin(better)
+        fixed = now.where(~(F.col("loose") & gain))
+        kept = fixed if kept is None else kept.unionByName(fixed)
+        now, r = new.where(gain), r + 1
+        if not better:
+            break
     out = now if kept is None else kept.unionByName(now)
     return out.select("container_name", "capacity", F.concat_ws("-", "part", "bin").alias("container_id"), "item", "part_no", "n", "bins", "bound")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from rillway.llm import canon, langid, mix, names, pack, scans, sentences, split, tokens
-from rillway.session import spread, table
+from rillway.session import Scratch, spread, table
 
 P6_FIELDS = ["notice_title", "description_proc", "buyer_name"]
 
@@ -140,11 +140,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Of each kind of container: how many were used, how many are needed at least, and the share of room used."""
-    p = _p8(spark, d)
-    return p.groupBy("container_name", "capacity").agg(
-        F.countDistinct("container_id").alias("containers"), F.sum("n").alias("tokens"), F.countDistinct("item").alias("documents")
-    ).withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
+    """Of each kind of container: how many were used, how many are needed at least by the dual-feasible bound over all documents, and the share of room used."""
+    sizes = table(spark, d, "pack_sizes").select("container_name", F.col("capacity_tokens").alias("capacity"))
+    items = Scratch(spark).cut(_sized(spark, d))
+    p = pack.pack(items, sizes)
+    used = p.groupBy("container_name", "capacity").agg(F.countDistinct("container_id").alias("containers"), F.sum("n").alias("tokens"), F.countDistinct("item").alias("documents"))
+    return used.join(pack.least_containers(items, sizes), "container_name").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
 
 
 def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -45,34 +45,32 @@ def split_items(df: DataFrame, text: str, max_chars: Column, overlap_chars: Colu
     limit = F.when(max_chars >= 1, max_chars)
     overlap = F.least(F.greatest(F.coalesce(overlap_chars, F.lit(0)), F.lit(0)), limit - 1)
     t = F.col(text)
+    steps = F.zip_with("_raw", F.slice("_raw", 2, F.greatest(F.size("_raw"), F.lit(1))), lambda x, nxt: F.struct(x.alias("x"), F.substring(F.coalesce(nxt, F.lit("")), 1, 1).alias("ahead")))
+    none = F.array().cast("array<struct<piece_no:int,start_char:int,end_char:int,text:string,cut:string>>")
+    pieces = F.aggregate(steps, F.struct(F.lit("").alias("tail"), F.lit(0).alias("end"), none.alias("out")), _step, lambda acc: acc["out"])
     return (
         df.withColumn("_limit", limit)
         .withColumn("_overlap", overlap)
         .withColumn("_raw", F.when(F.length(t) <= F.col("_limit"), F.filter(F.array(t), lambda x: x != "")).otherwise(F.regexp_extract_all(t, _pattern(F.col("_limit") - F.col("_overlap")), F.lit(0))))
-        .withColumn(
-            "_ends",
-            F.aggregate("_raw", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))),
-        )
-        .withColumn("pieces", F.zip_with("_raw", F.sequence(F.lit(0), F.size("_raw")), _piece(t)))
-        .withColumn("pieces", F.filter("pieces", lambda p: p.isNotNull()))
-        .drop("_raw", "_ends", "_limit", "_overlap")
+        .withColumn("pieces", pieces)
+        .drop("_raw", "_limit", "_overlap")
     )
 
 
-def _piece(t: Column):
-    def make(x: Column, i: Column) -> Column:
-        end = F.try_element_at(F.col("_ends"), i + 1)
-        begin = end - F.length(x) - F.when(i > 0, F.col("_overlap")).otherwise(0)
-        tail, ahead = F.substring(x, -1, 1), F.substr(t, end + 1, F.lit(1))
-        last = F.substring(F.regexp_replace(x, rf"[{CLOSERS}]{{1,3}}$", ""), -1, 1)
-        cut = (
-            F.when(end == F.length(t), "end")
-            .when(((tail == "\n") | x.rlike(r"\n[ \t\r]*$")) & (ahead == "\n"), "paragraph")
-            .when(F.instr(F.lit(ENDS), last) > 0, "sentence")
-            .when(ahead == "\n", "line")
-            .when(ahead.rlike(r"(?U)^\s") | tail.rlike(r"(?U)^\s"), "space")
-            .otherwise("char")
-        )
-        return F.when(x.isNotNull(), F.struct(i.alias("piece_no"), begin.cast("int").alias("start_char"), end.cast("int").alias("end_char"), F.substr(t, begin + 1, end - begin).alias("text"), cut.alias("cut")))
-
-    return make
+def _step(acc: Column, s: Column) -> Column:
+    """One piece more: what it adds, before it the tail of the text so far. Only the tail is carried along, so a piece costs its own length."""
+    x, ahead = s["x"], s["ahead"]
+    text = F.concat(acc["tail"], x)
+    end = acc["end"] + F.length(x)
+    tail = F.substring(x, -1, 1)
+    last = F.substring(F.regexp_replace(F.right(x, F.lit(4)), rf"[{CLOSERS}]{{1,3}}$", ""), -1, 1)
+    cut = (
+        F.when(ahead == "", "end")
+        .when(((tail == "\n") | x.rlike(r"\n[ \t\r]*\z")) & (ahead == "\n"), "paragraph")
+        .when(F.instr(F.lit(ENDS), last) > 0, "sentence")
+        .when(ahead == "\n", "line")
+        .when(ahead.rlike(r"(?U)^\s") | tail.rlike(r"(?U)^\s"), "space")
+        .otherwise("char")
+    )
+    piece = F.struct(F.size(acc["out"]).alias("piece_no"), (end - F.length(text)).alias("start_char"), end.alias("end_char"), text.alias("text"), cut.alias("cut"))
+    return F.struct(F.when(F.col("_overlap") > 0, F.right(text, F.col("_overlap"))).otherwise("").alias("tail"), end.alias("end"), F.concat(acc["out"], F.array(piece)).alias("out"))

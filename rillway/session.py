@@ -36,13 +36,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors share: the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder that all executors share: the cluster's spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             folder = known.get()
+        elif not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="rillway-")
             sc.setCheckpointDir(folder)
@@ -53,12 +55,15 @@ class Scratch:
     """Written tables that cut the lineage of iterative operators.
 
     Each cut is one Parquet table in the shared folder, so a lost executor costs only the step under way.
-    drop() removes a table that no later step reads.
+    drop() removes a table that no later step reads; the others, which results still read, go when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/rillway-{uuid.uuid4().hex}"
+        path, files = self._files(self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         self.made: dict[int, str] = {}
         self.n = 0
 
@@ -73,6 +78,10 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.made.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p, files = self._files(path)
+            files.delete(p, True)
+
+    def _files(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())

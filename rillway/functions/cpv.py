@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 
@@ -43,11 +41,10 @@ def inferred_parent(code: Column) -> Column:
 
 
 def ancestors(code: Column) -> Column:
-    """All inferred ancestors from the nearest to the division, without the code itself; at most six."""
-    chain = [inferred_parent(code)]
-    for _ in range(5):
-        chain.append(inferred_parent(chain[-1]))
-    return F.array_distinct(F.filter(F.array(*chain), lambda x: x.isNotNull()))
+    """All inferred ancestors from the nearest to the division, without the code itself: its shorter prefixes of two digits and more, each once."""
+    n = F.length(F.regexp_replace(code, "0+$", ""))
+    widths = F.when(n > 2, F.sequence(n - 1, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(widths, lambda w: F.rpad(F.substr(code, F.lit(1), w), 8, "0")))
 
 
 def best_level(code: Column, gold: Column) -> Column:
@@ -59,5 +56,7 @@ def zero_padded(code: Column, digits: int) -> Column:
     return F.rpad(F.substring(code, 1, digits), 8, "0")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)
+def code_level(code: Column) -> Column:
+    """Digits of the first of the widths 2, 4, 6, 8 whose zero-padded prefix is the code; 0 for what is no code of eight digits."""
+    c = strict(code)
+    return F.when(c.isNull(), 0).when(c == zero_padded(c, 2), 2).when(c == zero_padded(c, 4), 4).when(c == zero_padded(c, 6), 6).otherwise(8)

@@ -16,12 +16,10 @@ def words(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends unified, words broken at line ends joined before lower-case letters, blanks and blank lines reduced."""
-    t = F.regexp_replace(text, "\r", "\n")
-    t = F.regexp_replace(t, r"-\n(?=[a-zäöüß])", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\n[ \t]+", "\n")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Line ends unified, words broken at line ends joined before small letters, blanks and blank lines reduced, white space at both ends cut."""
+    joined = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), r"-\n(?=[a-zäöüß])", "")
+    even = F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n[ \t]+", "\n")
+    return F.regexp_replace(F.regexp_replace(even, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def overlap(query: Column, text: Column) -> Column:

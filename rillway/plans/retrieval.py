@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rillway.functions import cpv
 from rillway.functions.text import clean_text as clean, overlap, tokens
 from rillway.operators import evaluate as E, retrieval as R
+from rillway.operators.sections import strip
 from rillway.session import spread, table
 
 K, DEPTH = 10, 50
@@ -38,7 +39,7 @@ def chunk_by_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_by_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "doc_sections").select("section_row_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")).alias("paragraph_index", "text"))
+    t = table(spark, d, "doc_sections").select("section_row_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), strip), lambda p: p != "")).alias("paragraph_index", "text"))
     return t.select("section_row_id", "paragraph_index", F.length("text").alias("n_chars"))
 
 
@@ -211,6 +212,8 @@ _MET = _GR + f""", pool as (select code qid, {_GRADE.replace('qid', 'code')} gra
 _DENSE = f""", dn as (select * from (select q.vec_id qid, e.vec_id, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) score, row_number() over (partition by q.vec_id order by round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) rank
  from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0) where rank <= {K})"""
 ORACLE = {
+    "clean_text": r"""select paragraph_row_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '-\n([a-zäöüß])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') cleaned from doc_paragraphs""",
+    "chunk_by_paragraph": r"""select section_row_id, (i - 1)::int paragraph_index, length(p[i])::int n_chars from (select section_row_id, p, unnest(range(1, len(p) + 1)) i from (select section_row_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')), lambda x: x <> '') p from doc_sections))""",
     "chunk_fixed_words": r"""select doc_id, i::int chunk_index, (i * 100)::int start_word, least(i * 100 + 120, len(w))::int end_word, array_to_string(w[i * 100 + 1 : i * 100 + 120], ' ') as text
         from (select doc_id, w, unnest(range(0, 1 + ceil(greatest(len(w) - 120, 0) / 100)::int)) i from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') w from documents) where len(w) > 0)""",
     "chunk_by_section": r"select section_row_id, doc_id, section_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::int n_words from doc_sections where trim(text) <> ''",

@@ -37,7 +37,7 @@ def ranking_metrics(ranked: DataFrame, qid: str, grade: str, pool: DataFrame, k:
 
 def calibration(df: DataFrame, conf: Column, correct: Column, bins: int = 5) -> DataFrame:
     """Equal bins of confidence (the last closed): count, mean confidence, accuracy and the gap; empty bins are left out."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
+    c = F.when(conf.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
     d = df.select(c.alias("c"), correct.cast("int").alias("y")).where("c is not null and y is not null")
     d = d.withColumn("bin", F.least(F.floor(F.col("c") * bins), F.lit(bins - 1)).cast("int"))
     return d.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean_confidence"), F.round(F.avg("y"), 6).alias("accuracy"), F.round(F.abs(F.avg("c") - F.avg("y")), 6).alias("gap"), F.round(F.avg(F.pow(F.col("c") - F.col("y"), 2)), 6).alias("brier"))
@@ -58,12 +58,20 @@ def paired(df: DataFrame, item: str, factor: str, value: str, metric: str, contr
     )
 
 
-def pareto(df: DataFrame, quality: str, cost: str) -> DataFrame:
-    """Rows that no other row beats in quality at no more cost, or in cost at no less quality, by a sort over costs.
+def pareto(df: DataFrame, quality: str, cost: str, ranges: int = 64) -> DataFrame:
+    """Rows that no other row beats in quality at no more cost, or in cost at no less quality.
 
-    The best quality at each cost is aggregated first; a running maximum over costs replaces the join of all pairs.
+    The best quality at each cost is aggregated first. Costs are cut at their quantiles into ranges; a running maximum within
+    each range, and the best of the ranges before it, replace both the join of all pairs and one sort of all costs.
     """
     best = df.groupBy(cost).agg(F.max(quality).alias("top"))
-    before = F.max("top").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("before", before).where("before is null or top > before").select(cost, F.col("top").alias(quality))
-    return df.join(front, [cost, quality], "left_semi")
+    cuts = sorted(set(best.approxQuantile(cost, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    part = F.lit(0)
+    if cuts:
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(cost)))
+    best = best.withColumn("part", part)
+    heads = best.groupBy("part").agg(F.max("top").alias("head"))  # at most so many rows as there are ranges
+    ahead = heads.select("part", F.max("head").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"))
+    within = F.max("top").over(Window.partitionBy("part").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("within", within).join(F.broadcast(ahead), "part").withColumn("before", F.greatest("within", "ahead")).where("before is null or top > before")
+    return df.join(front.select(cost, F.col("top").alias(quality)), [cost, quality], "left_semi")

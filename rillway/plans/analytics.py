@@ -1,4 +1,4 @@
-"""Queries: code hierarchy, taxonomy neighbours, knowledge graph, ingestion, evaluation tables, design comparisons, advice."""
+"""Queries: code hierarchy, taxonomy neighbours, edge-table graph operators, ingestion, evaluation tables."""
 
 from __future__ import annotations
 
@@ -56,11 +56,10 @@ def taxonomy_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taxonomy_siblings(spark: SparkSession, d: str) -> DataFrame:
-    """The three next sibling codes in code order, by window, without pairing all siblings."""
+    """Each code's next sibling in code order and its number of siblings: a chain that holds all of them without pairing them."""
     c = table(spark, d, "cpv_catalog").select("code", cpv.inferred_parent(F.col("code")).alias("parent")).where("parent is not null")
     w = Window.partitionBy("parent").orderBy("code")
-    c = c.select("code", "parent", *[F.lead("code", i).over(w).alias(f"next_{i}") for i in (1, 2, 3)])
-    return c.withColumn("n_siblings", F.count("*").over(Window.partitionBy("parent")) - 1)
+    return c.select("code", "parent", F.lead("code").over(w).alias("next_sibling"), (F.count("*").over(Window.partitionBy("parent")) - 1).alias("n_siblings"))
 
 
 def branch_support(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +149,8 @@ def kg_hop_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_ppr(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
-    e = _edges(spark, d).where("p <> 'x'")
+    seeds = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("score"))
+    e = _edges(spark, d)
     return G.personalised_pagerank(e, "s", "o", "w", seeds, 0.85, 3).select("node", F.round("score", 6).alias("score"))
 
 
@@ -202,11 +201,12 @@ def asof_version(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    """Wide predictions (three codes and scores a row) to ranked rows."""
-    n = table(spark, d, "ted_notices").select("notice_row_id", F.expr(MAIN).alias("c1"), F.regexp_extract("all_cpv_codes_json", r"\d{8}", 0).alias("c2"))
-    wide = n.select("notice_row_id", "c1", F.lit(0.9).alias("s1"), "c2", F.lit(0.6).alias("s2"))
-    long = wide.select("notice_row_id", F.expr("stack(2, 1, c1, s1, 2, c2, s2) as (slot, code, score)")).where("code <> ''")
-    w = Window.partitionBy("notice_row_id").orderBy(F.desc("score"), "slot")
+    """Wide predictions to ranked rows: the main code with its score, and every code of the list cell at a millionth less each; ordered by score, slot and place."""
+    codes = F.regexp_extract_all(F.coalesce("all_cpv_codes_json", F.lit("")), F.lit(r"\d{8}"), F.lit(0))
+    n = table(spark, d, "ted_notices").select("notice_row_id", F.array(F.expr(MAIN)).alias("c1"), codes.alias("c2"))
+    long = n.select("notice_row_id", F.expr("stack(2, 1, c1, 0.9, 2, c2, 0.6) as (slot, cs, s)")).select("notice_row_id", "slot", "s", F.posexplode("cs").alias("at", "code")).where("code <> ''")
+    long = long.withColumn("score", F.round(F.col("s").cast("double") - F.col("at") * 1e-6, 6))
+    w = Window.partitionBy("notice_row_id").orderBy(F.desc("score"), "slot", "at")
     return long.select("notice_row_id", "code", "score", F.row_number().over(w).alias("rank"))
 
 
@@ -234,36 +234,9 @@ def claim_support(spark: SparkSession, d: str) -> DataFrame:
     return j.select("paragraph_row_id", F.round("share", 6).alias("support"), F.when(F.col("share") >= 0.62, "supported").when(F.col("share") >= 0.35, "partial").otherwise("unsupported").alias("verdict"))
 
 
-def diagnose_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered rules over notices: the first that holds is the diagnosis."""
-    n = table(spark, d, "ted_notices")
-    rule = (
-        F.when(F.col("description_proc").isNull(), "no_description").when(F.col("buyer_name").isNull(), "no_buyer").when(F.col("main_cpv_code").isNull(), "no_code")
-        .when(F.col("language_count") == 0, "no_language").when(F.col("language_count") > 1, "many_languages").otherwise("ok")
-    )
-    return n.groupBy(rule.alias("diagnosis")).agg(F.count("*").alias("n"))
-
-
 # design comparisons
 
 
-def _trace(spark, d):
-    """Trials: an order's priority class as item, its status as factor, ship mode left out as control."""
-    o = table(spark, d, "orders")
-    return o.select(F.concat_ws("-", F.col("o_custkey"), F.col("o_orderpriority")).alias("item"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("m"))
-
-
-def paired_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    p = E.paired(_trace(spark, d), "item", "status", "v", "m", ["year"])
-    return p.select("left_value", "right_value", "n", F.round("mean_delta", 2).alias("mean_delta"), F.round("half_width", 2).alias("half_width"), "wins", "losses", "ties")
-
-
-def factor_effects(spark: SparkSession, d: str) -> DataFrame:
-    t = _trace(spark, d)
-    long = t.select("m", F.expr("stack(2, 'status', status, 'year', cast(year as string)) as (factor, value)"))
-    return long.groupBy("factor", "value").agg(F.count("*").alias("n"), F.round(F.avg("m"), 3).alias("mean_m"), F.round(F.stddev_samp("m"), 3).alias("sd_m"))
-
-
 def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("quality"), F.round("p_retailprice", 0).alias("cost"))
     return E.pareto(p, "quality", "cost")
@@ -277,26 +250,7 @@ def group_top_values(spark: SparkSession, d: str) -> DataFrame:
     return r.where("rank <= 3")
 
 
-def experiment_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Sources of documents ranked like experiments, by a weighted score of length, code and language coverage."""
-    g = table(spark, d, "documents").groupBy("source").agg(F.avg("n_chars").alias("len"), F.avg(F.col("cpv_code").isNotNull().cast("int")).alias("coded"), F.avg((F.coalesce(F.trim("lang"), F.lit("")) != "").cast("int")).alias("tagged"))
-    s = g.select("source", F.round(0.5 * F.col("coded") + 0.3 * F.col("tagged") + 0.2 * F.least(F.col("len") / 2000, F.lit(1.0)), 5).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source")))
-
-
-def advisor_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Threshold rules over notices give recommendations; the most urgent eight by component and issue."""
-    n = table(spark, d, "ted_notices")
-    rec = lambda cond, comp, issue, prio: F.when(cond, F.struct(F.lit(comp).alias("component"), F.lit(issue).alias("issue"), F.lit(prio).alias("priority")))
-    rules = F.filter(F.array(
-        rec(F.col("main_cpv_code").isNull(), "code", "missing_main_code", 1), rec(F.col("buyer_name").isNull(), "buyer", "missing_buyer", 2), rec(F.col("description_proc").isNull(), "text", "missing_description", 1),
-        rec(F.length("combined_text") < 200, "text", "short_text", 3), rec(F.col("language_count") == 0, "language", "no_language", 2), rec(F.col("language_count") > 2, "language", "many_languages", 3),
-    ), lambda r: r.isNotNull())
-    g = n.select(F.inline(rules)).groupBy("component", "issue").agg(F.min("priority").alias("priority"), F.count("*").alias("n"))
-    return g.orderBy("priority", F.desc("n"), "component", "issue").limit(8)
-
-
-QUERIES = {f.__name__: f for f in (cpv_hierarchy_match, cpv_match_breakdown, cpv_confusions_top10, cpv_best_match, taxonomy_parents, taxonomy_ancestors, taxonomy_siblings, branch_support, channel_aggregate, channel_fuse, score_normalise, kg_dedupe, kg_degree, kg_components, kg_predicate_entropy, kg_edge_dropout, kg_hop_expand, kg_ppr, upsert_latest, hash_split, top_languages, catalog_from_notices, example_ranking, asof_version, prepared_unpivot, confidence_calibration, metrics_by_type, claim_support, diagnose_rules, paired_comparisons, factor_effects, pareto_frontier, group_top_values, experiment_ranking, advisor_rules)}
+QUERIES = {f.__name__: f for f in (cpv_hierarchy_match, cpv_match_breakdown, cpv_confusions_top10, cpv_best_match, taxonomy_parents, taxonomy_ancestors, taxonomy_siblings, branch_support, channel_aggregate, channel_fuse, score_normalise, kg_dedupe, kg_degree, kg_components, kg_predicate_entropy, kg_edge_dropout, kg_hop_expand, kg_ppr, upsert_latest, hash_split, top_languages, catalog_from_notices, example_ranking, asof_version, prepared_unpivot, confidence_calibration, metrics_by_type, claim_support, pareto_frontier, group_top_values)}
 
 _PRED = f"""with n as (select distinct publication_number, {MAIN.replace("'([0-9]{8})', 1", "'[0-9]{8}'")} gold from ted_notices where regexp_matches(main_cpv_code, '[0-9]{{8}}')),
  p as (select doc_id, publication_number, cpv_code predicted, gold from documents join n using (publication_number) where cpv_code is not null),
@@ -321,7 +275,7 @@ ORACLE = {
     "cpv_best_match": _PRED + "select doc_id, max(level) best_level, count(distinct gold)::int n_gold from h group by 1",
     "taxonomy_parents": f"with c as (select code, {_PAR} parent from cpv_catalog) select code, parent, (parent in (select code from cpv_catalog) and parent is not null)::int parent_known from c",
     "taxonomy_ancestors": f"with recursive t as (select code, {_PAR} ancestor, 1 distance from cpv_catalog union all select code, {_PAR.replace('code', 'ancestor')}, distance + 1 from t where ancestor is not null) select code, ancestor, distance from t where ancestor is not null",
-    "taxonomy_siblings": f"with c as (select code, {_PAR} parent from cpv_catalog) select code, parent, lead(code, 1) over w next_1, lead(code, 2) over w next_2, lead(code, 3) over w next_3, count(*) over (partition by parent) - 1 n_siblings from c where parent is not null window w as (partition by parent order by code)",
+    "taxonomy_siblings": f"with c as (select code, {_PAR} parent from cpv_catalog) select code, parent, lead(code) over w next_sibling, count(*) over (partition by parent) - 1 n_siblings from c where parent is not null window w as (partition by parent order by code)",
     "branch_support": "with n as (select substr(regexp_extract(main_cpv_code, '[0-9]{8}'), 1, 4) branch, count(*) n from ted_notices where regexp_matches(main_cpv_code, '[0-9]{8}') group by 1 having count(*) >= 5) select branch, n, (row_number() over (partition by substr(branch, 1, 2) order by n desc, branch) = 1)::int is_dominant from n",
     "channel_aggregate": _CH + "select * from a",
     "channel_fuse": _CH + ", t as (select cpv_code, max(score) es from a where qid is not null group by 1), p as (select cpv_code, count(*) / (count(*) + 5) ps from documents where cpv_code is not null group by 1) select cpv_code, round(0.44 * coalesce(ps, 0) + 0.56 * coalesce(es, 0) + case when ps is not null and es is not null then 0.05 else 0 end, 6) score from t full join p using (cpv_code)",
@@ -332,7 +286,7 @@ ORACLE = {
     "kg_predicate_entropy": _ED + ", c as (select p, count(*) n from e group by 1), t as (select sum(n) t from c) select round(sum(-(n / t) * log2(n / t)), 6) entropy, max(t)::bigint edges from c, t",
     "kg_edge_dropout": _ED + "select s, p, o from e where ('0x' || substr(sha256('q1|' || s || '|' || p || '|' || o), 1, 8))::bigint / 4294967295.0 >= 0.3",
     "kg_hop_expand": _ED + f", s0 as (select 'r' || r_regionkey node, 1.0 s from region where r_regionkey = 1), f1 as ({_HOP.format('s0')}), g1 as (select node, max(s) s from (select * from s0 union all select * from f1) group by 1), f2 as ({_HOP.format('f1')}) select node, round(max(s)::double, 6) score from (select * from g1 union all select * from f2) group by 1",
-    "kg_ppr": _ED + f", s0 as (select 's' || s_suppkey node, 1.0 s from supplier where s_suppkey % 10 = 0), x1 as ({_PPR.format('s0')}), x2 as ({_PPR.format('x1')}), x3 as ({_PPR.format('x2')}) select node, round(s::double, 6) score from x3",
+    "kg_ppr": _ED + f", s0 as (select 's' || s_suppkey node, 1.0 s from supplier where s_acctbal < 0), x1 as ({_PPR.format('s0')}), x2 as ({_PPR.format('x1')}), x3 as ({_PPR.format('x2')}) select node, round(s::double, 6) score from x3",
     "upsert_latest": "select publication_number, notice_row_id, main_cpv_code, strftime(ingested_at at time zone 'UTC', '%Y-%m-%d %H:%M:%S') ingested from (select *, row_number() over (partition by publication_number order by ingested_at desc nulls last, notice_row_id desc) r from ted_notices) where r = 1",
     "hash_split": "select distinct publication_number, case when ('0x' || substr(sha256(publication_number), 1, 8))::bigint / 4294967295.0 < 0.2 then 'test' else 'train' end split from ted_notices where publication_number is not null",
     "top_languages": "select lang, count(*) n from documents where trim(lang) <> '' group by 1 order by 2 desc, 1 limit 8",
@@ -340,18 +294,11 @@ ORACLE = {
     "example_ranking": r"""with e as (select cpv_code, example_text, max(round(case when contains(source_field, 'title') then 0.3 when contains(source_field, 'desc') then 0.2 else 0.1 end + least(len(list_filter(regexp_split_to_array(example_text, '\s+'), lambda w: w <> '')), 18) * 0.015 - abs(length(example_text) - 140) / 700.0, 6)) score, min(example_id) example_id from cpv_notice_examples where example_text is not null group by all)
         select cpv_code, rank, example_id, score from (select *, row_number() over (partition by cpv_code order by score desc, example_id) rank from e) where rank <= 12""",
     "asof_version": "with o as (select o_orderkey, o_custkey, o_orderdate::date d, o_totalprice from orders) select a.o_orderkey, b.o_orderkey previous_key, round(b.o_totalprice, 2) previous_price from o a left join lateral (select * from o b where b.o_custkey = a.o_custkey and b.d < a.d order by d desc, o_orderkey desc limit 1) b on true",
-    "prepared_unpivot": "with w as (select notice_row_id, regexp_extract(main_cpv_code, '[0-9]{8}') c1, regexp_extract(all_cpv_codes_json, '[0-9]{8}') c2 from ted_notices), l as (select notice_row_id, c1 code, 0.9::double score from w union all select notice_row_id, c2, 0.6::double from w) select notice_row_id, code, score, row_number() over (partition by notice_row_id order by score desc) rank from l where code <> ''",
+    "prepared_unpivot": r"with w as (select notice_row_id, regexp_extract(main_cpv_code, '[0-9]{8}') c1, regexp_extract_all(coalesce(all_cpv_codes_json, ''), '\d{8}') c2 from ted_notices), l as (select notice_row_id, 1 slot, 0 i, c1 code, 0.9::double score from w where c1 <> '' union all select notice_row_id, 2, i, c2[i + 1], round(0.6 - i * 1e-6, 6) from (select *, unnest(range(0, len(c2))) i from w)) select notice_row_id, code, score, row_number() over (partition by notice_row_id order by score desc, slot, i) rank from l",
     "confidence_calibration": "with d as (select greatest(0, least(1, l_quantity / 50.0)) c, (l_returnflag = 'R')::int y from lineitem) select least(floor(c * 5), 4)::int bin, count(*) n, round(avg(c), 6) mean_confidence, round(avg(y), 6) accuracy, round(abs(avg(c) - avg(y)), 6) gap, round(avg((c - y) ** 2), 6) brier from d group by 1",
     "metrics_by_type": "select event_type, count(*) n, round(avg(value), 4) mean_value, count(distinct user_id) users from events group by rollup (event_type)",
     "claim_support": r"""with s as (select doc_id, section_id, min_by(text, section_row_id) sec from doc_sections group by all), j as (select paragraph_row_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+'), lambda t: length(t) > 2)) t, list_distinct(list_filter(regexp_extract_all(lower(sec), '[\p{L}\p{N}\p{M}]+'), lambda t: length(t) > 2)) u from doc_paragraphs join s using (doc_id, section_id)),
         k as (select paragraph_row_id, case when len(t) > 0 then len(list_intersect(t, u)) / len(t) end x from j) select paragraph_row_id, round(x, 6) support, case when x >= 0.62 then 'supported' when x >= 0.35 then 'partial' else 'unsupported' end verdict from k""",
-    "diagnose_rules": "select case when description_proc is null then 'no_description' when buyer_name is null then 'no_buyer' when main_cpv_code is null then 'no_code' when language_count = 0 then 'no_language' when language_count > 1 then 'many_languages' else 'ok' end diagnosis, count(*) n from ted_notices group by 1",
-    "paired_comparisons": "with t as (select o_custkey || '-' || o_orderpriority item, o_orderstatus v, year(o_orderdate) y, max(o_totalprice) m from orders group by all), p as (select a.v left_value, b.v right_value, b.m - a.m d from t a join t b on a.item = b.item and a.y = b.y and a.v < b.v) select left_value, right_value, count(*) n, round(avg(d), 2) mean_delta, round(1.96 * stddev_samp(d) / sqrt(count(*)), 2) half_width, count(*) filter (d > 0) wins, count(*) filter (d < 0) losses, count(*) filter (d = 0) ties from p group by all",
-    "factor_effects": "with t as (select 'status' factor, o_orderstatus as value, o_totalprice m from orders union all select 'year', year(o_orderdate)::varchar, o_totalprice from orders) select factor, value, count(*) n, round(avg(m), 3) mean_m, round(stddev_samp(m), 3) sd_m from t group by all",
     "pareto_frontier": "with p as (select p_partkey, p_size::double quality, round(p_retailprice, 0) cost from part) select * from p a where not exists (select 1 from p b where b.quality >= a.quality and b.cost <= a.cost and (b.quality > a.quality or b.cost < a.cost))",
     "group_top_values": "with c as (select p_brand, p_type, count(*) n from part group by all) select * from (select *, round(n / sum(n) over (partition by p_brand), 6) share, row_number() over (partition by p_brand order by n desc, p_type) rank from c) where rank <= 3",
-    "experiment_ranking": "with s as (select source, round(0.5 * avg((cpv_code is not null)::int) + 0.3 * avg((coalesce(trim(lang), '') <> '')::int) + 0.2 * least(avg(n_chars) / 2000, 1.0), 5) score from documents group by 1) select source, score, row_number() over (order by score desc, source) rank from s",
-    "advisor_rules": """with r as (select unnest(list_filter([case when main_cpv_code is null then {c: 'code', i: 'missing_main_code', p: 1} end, case when buyer_name is null then {c: 'buyer', i: 'missing_buyer', p: 2} end, case when description_proc is null then {c: 'text', i: 'missing_description', p: 1} end,
-        case when length(combined_text) < 200 then {c: 'text', i: 'short_text', p: 3} end, case when language_count = 0 then {c: 'language', i: 'no_language', p: 2} end, case when language_count > 2 then {c: 'language', i: 'many_languages', p: 3} end], lambda x: x is not null)) x from ted_notices)
-        select x.c component, x.i issue, min(x.p) priority, count(*) n from r group by all order by 3, 4 desc, 1, 2 limit 8""",
 }

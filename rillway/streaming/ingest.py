@@ -19,15 +19,13 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, key: str, order: list[str], folder: str, checkpoint: str):
-    """Writes a stream so that folder/v<batch> holds the latest row of each key seen up to that batch.
+    """Writes a stream into the table at folder, which holds the latest row of each key; each batch writes only the key buckets it touches (see sinks.writers.upsert).
 
-    A batch that is run again writes the same version again, so the sink is idempotent.
+    A batch that is run again leaves the same rows, so the sink is idempotent.
     """
+    from rillway.sinks.writers import upsert
 
     def step(batch: DataFrame, number: int) -> None:
-        new = batch
-        if number > 0:
-            new = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}").unionByName(batch)
-        latest(new, key, order).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        upsert(batch.sparkSession, batch, key, order, folder)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

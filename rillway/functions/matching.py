@@ -154,6 +154,26 @@ def metadata_matches(actual: Column, expected: Column) -> Column:
     return F.when(expected == "", True).when(actual == "", False).otherwise((actual == expected) | F.contains(actual, expected) | F.contains(expected, actual) | subset(a, e) | subset(e, a))
 
 
+def metadata_predicate(expected: dict, form=None) -> Column:
+    """Rows whose metadata match: for each key a value, a list of which any matches, or {"include": …, "exclude": …}; empty expectations count nothing.
+
+    form gives the metadata form of a column by its key (by default the column <key>_form), which must have been made in a projection before.
+    """
+    form = form or (lambda k: F.col(k + "_form"))
+    listed = lambda v: [x for x in (v if isinstance(v, (list, tuple, set)) else [v]) if x is not None and str(x).strip()]
+    plain = lambda x: " ".join(ALIASES.get(w, w) for w in re.sub(r"[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFD", str(x).lower().replace("&", " and ")) if not unicodedata.combining(c))).split())
+    out = F.lit(True)
+    for k, v in expected.items():
+        inc, exc = (v.get("include"), v.get("exclude")) if isinstance(v, dict) else (v, None)
+        for values, want in ((listed(inc), True), (listed(exc), False)):
+            if values:
+                hit = F.lit(False)
+                for x in values:
+                    hit = hit | metadata_matches(form(k), F.lit(plain(x)))
+                out = out & (hit if want else ~hit)
+    return out
+
+
 def name_form(text: Column) -> Column:
     """Names for identifiers: lower case, without quotation marks, of letters, digits and § . , - only."""
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\"'`´„“”‘’«»]", ""), r"[^\p{L}\p{N}_§.,\-\s]", " "))

@@ -23,10 +23,28 @@ def chunks(df: DataFrame, key: str, text: Column, size: int, overlap: int) -> Da
     return d.select(key, "chunk_index", start.alias("start_word"), F.least(start + size, F.col("n")).alias("end_word"), F.array_join(F.slice("w", start + 1, size), " ").alias("text"))
 
 
+def tokenised(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, t): the tokens of each document, laid out by key.
+
+    All that a lexical model needs is derived from this one exchange, which Spark reuses: texts are read and cut once, and counting
+    and scoring by document need no other exchange of postings.
+    """
+    return docs.select(key, tokens(text).alias("t")).repartition(F.col(key))
+
+
+def _counted(cut: DataFrame, key: str, terms: Column) -> DataFrame:
+    return cut.select(key, F.size("t").alias("n_terms"), F.explode(terms).alias("term")).groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
+
+
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, n_terms) of a corpus; the unit of both lexical models."""
-    d = docs.select(key, tokens(text).alias("t"))
-    return d.select(key, F.size("t").alias("n_terms"), F.explode("t").alias("term")).groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
+    return _counted(tokenised(docs, key, text), key, F.col("t"))
+
+
+def grams(t: Column) -> Column:
+    """The words of two letters and more, and their pairs of neighbours."""
+    w = F.filter(t, lambda x: F.length(x) > 1)
+    return F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.concat(x, F.lit(" "), y))))
 
 
 def query_terms(queries: DataFrame, qid: str, text: Column) -> DataFrame:
@@ -40,35 +58,99 @@ def top_k(scored: DataFrame, qid: str, key: str, k: int, score: str = "score") -
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, qid: str, qtext: Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
-    """(qid, key, score) for all pairs with a common term. Negative weights become eps times the mean weight.
+def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, qid: str, qtext: Column, k1: float = 1.5, b: float = 0.75, eps: float | None = 0.25, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score) for all pairs with a common term; repeated query terms count each time.
 
-    Only documents' postings of terms that queries have are shuffled; corpus statistics come from all documents.
+    Negative weights become eps times the mean weight; with eps None they become a millionth and query terms count once, as full-text
+    engines do. allowed (key) narrows the documents that are scored; the statistics are those of all documents.
     """
-    p = postings(docs, key, text)
-    size = docs.select(key, F.size(tokens(text)).alias("n")).agg(F.count("*").alias("N"), F.avg("n").alias("avgdl"))
+    cut = tokenised(docs, key, text)
+    p = _counted(cut, key, F.col("t"))
+    size = cut.agg(F.count("*").alias("N"), F.avg(F.size("t")).alias("avgdl"))
     idf = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size), F.lit(True)).withColumn("idf", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.join(F.broadcast(mean), F.lit(True)).select("term", "avgdl", F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    q = query_terms(queries, qid, qtext).join(idf, "term")
+    if eps is None:
+        idf = idf.select("term", "avgdl", F.greatest("idf", F.lit(1e-6)).alias("idf"))
+    else:
+        mean = idf.agg(F.avg("idf").alias("mean"))
+        idf = idf.join(F.broadcast(mean), F.lit(True)).select("term", "avgdl", F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    q = query_terms(queries, qid, qtext)
+    q = (q if eps is not None else q.withColumn("qtf", F.lit(1))).join(idf, "term")
+    if allowed is not None:
+        p = p.join(allowed.select(key).distinct(), key, "left_semi")
     tf = F.col("tf")
     gain = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / F.col("avgdl")))
     return p.join(q, "term").groupBy(qid, key).agg(F.sum(gain).alias("score"))
 
 
-def tfidf(docs: DataFrame, key: str, text: Column, queries: DataFrame, qid: str, qtext: Column) -> DataFrame:
-    """(qid, key, score): cosine of smoothed TF-IDF vectors of words of two letters and more."""
-    p = postings(docs, key, text).where("length(term) > 1")
-    total = docs.agg(F.count("*").alias("N"))
-    idf = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
+def tfidf(docs: DataFrame, key: str, text: Column, queries: DataFrame, qid: str, qtext: Column, features: int = 50_000) -> DataFrame:
+    """(qid, key, score): cosine of smoothed TF-IDF vectors of words of two letters and more and their pairs; only the most frequent features of the corpus count."""
+    cut = tokenised(docs, key, text)
+    p = _counted(cut, key, grams(F.col("t"))).where("term is not null")
+    total = cut.agg(F.count("*").alias("N"))
+    df = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(features)
+    idf = df.join(F.broadcast(total), F.lit(True)).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
     d = p.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = d.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = query_terms(queries, qid, qtext).join(idf, "term").select(qid, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    q = queries.select(qid, F.explode(grams(tokens(qtext))).alias("term")).where("term is not null").groupBy(qid, "term").agg(F.count("*").alias("qtf"))
+    q = q.join(idf, "term").select(qid, "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     qnorm = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     dot = d.join(q, "term").groupBy(qid, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return dot.join(norm, key).join(qnorm, qid).select(qid, key, (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
 
 
+def retrieve(kind: str, docs: DataFrame, key: str, text: Column, queries: DataFrame, qid: str, qtext: Column, k: int, alpha: float = 0.6, depth: int = 100, allowed: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each query by 'bm25', 'tfidf', 'fulltext', 'hybrid' (both scaled, alpha for TF-IDF) or 'rrf'; allowed narrows the documents."""
+    few = lambda s: s if allowed is None else s.join(allowed.select(key).distinct(), key, "left_semi")
+    args = (docs, key, text, queries, qid, qtext)
+    if kind == "bm25":
+        scored = bm25(*args, allowed=allowed)
+    elif kind == "fulltext":
+        scored = bm25(*args, k1=1.2, eps=None, allowed=allowed)
+    elif kind == "tfidf":
+        scored = few(tfidf(*args))
+    elif kind == "hybrid":
+        scored = fuse_alpha(top_k(few(tfidf(*args)), qid, key, max(k, depth)), top_k(bm25(*args, allowed=allowed), qid, key, max(k, depth)), qid, key, alpha)
+    elif kind == "rrf":
+        scored = fuse_rrf([("tfidf", 1.0, few(tfidf(*args))), ("bm25", 0.8, bm25(*args, allowed=allowed))], qid, key, max(k, depth))
+    else:
+        raise ValueError(f"no retriever {kind}")
+    return top_k(scored, qid, key, k)
+
+
+def evidence_rerank(ranked: DataFrame, qid: str, key: str, question: Column, title: Column, text: Column) -> DataFrame:
+    """.50 scaled score, .30 words of the question in title and text, .15 its numbers in the text (1 without numbers), .05 its words in the title."""
+    w = Window.partitionBy(qid)
+    words = F.array_distinct(F.filter(tokens(question), lambda x: F.length(x) > 2))
+    numbers = F.array_distinct(F.regexp_extract_all(question, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)))
+    has = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+    known = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)))
+    base = min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w))
+    s = 0.50 * base + 0.30 * has(words, tokens(F.concat_ws(" ", title, text))) + 0.15 * F.when(F.size(numbers) > 0, has(numbers, known)).otherwise(1.0) + 0.05 * has(words, tokens(title))
+    return ranked.withColumn("final", F.round(s, DIGITS)).withColumn("new_rank", F.row_number().over(w.orderBy(F.desc("final"), key)))
+
+
+def context(ranked: DataFrame, qid: str, doc: str, section: str, text: str, mode: str = "ranked", most: int = 8, budget: int | None = None) -> DataFrame:
+    """Rows of each query in the order a mode gives – 'ranked', 'kg_first' (rows that only the graph found come first), 'group_by_doc' (documents by their best rank) or 'dedupe_section' (the best of each section) –, at most so many and within a budget of characters; the first row always stays. Adds place."""
+    w = Window.partitionBy(qid)
+    d = ranked
+    if mode == "dedupe_section":
+        d = d.withColumn("_s", F.row_number().over(Window.partitionBy(qid, doc, section).orderBy("rank"))).where("_s = 1").drop("_s")
+    if mode == "group_by_doc":
+        d = d.withColumn("_b", F.min("rank").over(Window.partitionBy(qid, doc)))
+        order = [F.col("_b"), F.col(doc), F.col("rank")]
+    elif mode == "kg_first":
+        order = [F.when(F.col("source") == "graph", 0).otherwise(1), F.col("rank")]
+    elif mode in ("ranked", "dedupe_section"):
+        order = [F.col("rank")]
+    else:
+        raise ValueError(f"no context mode {mode}")
+    d = d.withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= most).drop("_b")
+    if budget is not None:
+        upto = F.sum(F.length(text)).over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        d = d.withColumn("_u", upto).where((F.col("_u") <= budget) | (F.col("place") == 1)).drop("_u")
+    return d
+
+
 def dense_top_k(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 2048) -> DataFrame:
     """(qid, key, score, rank): exact inner products of the query rows with all rows, block by block.
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillway.functions import cpv
 from rillway.functions.text import clean_text as clean, overlap, tokens
-from rillway.operators import evaluate as E, retrieval as R
+from rillway.functions import matching as M
+from rillway.operators import evaluate as E, hooks as H, retrieval as R
 from rillway.operators.sections import strip
-from rillway.session import spread, table
+from rillway.session import Scratch, spread, table
 
 K, DEPTH = 10, 50
 
@@ -79,9 +80,41 @@ def rrf_fusion_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Filters go below the top k, so k rows come back where there are as many."""
-    allowed = _docs(spark, d).where("source in ('national_portal', 'utility_board')").select("doc_id")
-    return R.top_k(_bm25(spark, d).join(allowed, "doc_id", "left_semi"), "qid", "doc_id", K).select("qid", "doc_id", "score", "rank")
+    """Only documents of two sources are scored, by the statistics of all, so k rows come back where there are as many."""
+    docs = _docs(spark, d)
+    allowed = docs.where("source in ('national_portal', 'utility_board')")
+    return R.retrieve("bm25", docs, "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"), K, allowed=allowed).select("qid", "doc_id", "score", "rank")
+
+
+def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.retrieve("fulltext", _docs(spark, d), "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"), K).select("qid", "doc_id", "score", "rank")
+
+
+def evidence_rerank(spark: SparkSession, d: str) -> DataFrame:
+    top = R.top_k(_bm25(spark, d), "qid", "doc_id", 20).join(_docs(spark, d).select("doc_id", "text", "source"), "doc_id").join(_questions(spark, d), "qid")
+    return R.evidence_rerank(top, "qid", "doc_id", F.col("question"), F.col("source"), F.col("text")).select("qid", "doc_id", "final", "new_rank")
+
+
+def context_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of all modes in one relation; the source of a document stands for its file, its language for its section."""
+    top = Scratch(spark).cut(R.top_k(_bm25(spark, d), "qid", "doc_id", 20).join(_docs(spark, d).select("doc_id", "text", F.col("source").alias("doc"), "lang"), "doc_id").withColumn("source", F.when(F.col("rank") % 5 == 0, "graph").otherwise("vector")))
+    out = None
+    for mode in ("ranked", "kg_first", "group_by_doc", "dedupe_section"):
+        c = R.context(top, "qid", "doc", "lang", "text", mode, 8, 4000).select(F.lit(mode).alias("mode"), "qid", "doc_id", "place")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def cross_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The head reranked by a pair scorer in Arrow batches; here its stand-in, the share of common words."""
+    top = R.top_k(_bm25(spark, d), "qid", "doc_id", 20).join(_docs(spark, d).select("doc_id", "text"), "doc_id").join(_questions(spark, d), "qid")
+    return H.cross_rerank(top, "qid", "doc_id", "question", "text").select("qid", "doc_id", "score", "rank")
+
+
+def metadata_fuzzy_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by fuzzy metadata: any of two sources, and not one language."""
+    forms = _docs(spark, d).select("doc_id", M.metadata_value(F.col("source")).alias("source_form"), M.metadata_value(F.col("lang")).alias("lang_form"))
+    return forms.where(M.metadata_predicate({"source": ["National-Portal", "utility board"], "lang": {"exclude": "de"}})).select("doc_id")
 
 
 def self_exclusion_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -178,9 +211,10 @@ def score_margin(spark: SparkSession, d: str) -> DataFrame:
     return top.join(h, "qid").select("qid", F.round(F.col("s1") - F.coalesce("s2", F.lit(0.0)), 3).alias("margin"), F.round(F.when(F.col("n") > 1, F.col("h") / F.log("n")), 3).alias("entropy"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, chunk_fixed_words, chunk_by_section, chunk_by_paragraph, vocabulary, bm25_topk, tfidf_topk, dense_topk, hybrid_alpha_topk, rrf_fusion_topk, metadata_filtered_topk, self_exclusion_topk, lexical_rerank, context_char_budget, context_dedupe, relevance_grades, retrieval_metrics, retrieval_summary, ranked_eval_dense, rank_profile, unique_chunks_by_k, score_margin)}
+QUERIES = {f.__name__: f for f in (clean_text, chunk_fixed_words, chunk_by_section, chunk_by_paragraph, vocabulary, bm25_topk, tfidf_topk, dense_topk, hybrid_alpha_topk, rrf_fusion_topk, metadata_filtered_topk, fulltext_topk, evidence_rerank, context_modes, cross_rerank, metadata_fuzzy_filter, self_exclusion_topk, lexical_rerank, context_char_budget, context_dedupe, relevance_grades, retrieval_metrics, retrieval_summary, ranked_eval_dense, rank_profile, unique_chunks_by_k, score_margin)}
 
 _TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}\p{{M}}]+')"
+_GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
 _LEX = f"""with dt as (select doc_id, unnest({_TOK.format('text')}) term from documents),
  p as (select doc_id, term, count(*) tf from dt group by all),
  len as (select doc_id, len({_TOK.format('text')}) n from documents), st as (select count(*) nn, avg(n) avgdl from len),
@@ -189,9 +223,12 @@ _LEX = f"""with dt as (select doc_id, unnest({_TOK.format('text')}) term from do
  i0 as (select term, ln(nn - df + 0.5) - ln(df + 0.5) idf from dfs, st), im as (select avg(idf) m from i0),
  idf as (select term, case when idf < 0 then 0.25 * m else idf end idf from i0, im),
  bm as (select q.qid, p.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))) score from p join q using (term) join idf using (term) join len using (doc_id), st group by all),
- ti as (select term, ln((1 + nn) / (1 + df)) + 1 idf from dfs, st where length(term) > 1),
- tw as (select doc_id, term, tf * idf w from p join ti using (term)), tn as (select doc_id, sqrt(sum(w * w)) nrm from tw group by 1),
- qw as (select qid, term, qtf * idf w from q join ti using (term)), qn as (select qid, sqrt(sum(w * w)) nrm from qw group by 1),
+ dg as (select doc_id, term, count(*) tf from (select doc_id, unnest({_GRAMS}) term from (select doc_id, list_filter({_TOK.format('text')}, lambda x: length(x) > 1) t from documents)) group by all),
+ qg as (select qid, term, count(*) qtf from (select qid, unnest({_GRAMS}) term from (select code qid, list_filter({_TOK.format('en')}, lambda x: length(x) > 1) t from cpv_catalog where en is not null)) group by all),
+ tg as (select term, count(*) df, row_number() over (order by sum(tf) desc, term) r from dg group by 1),
+ ti as (select term, ln((1 + nn) / (1 + df)) + 1 idf from tg, st where r <= 50000),
+ tw as (select doc_id, term, tf * idf w from dg join ti using (term)), tn as (select doc_id, sqrt(sum(w * w)) nrm from tw group by 1),
+ qw as (select qid, term, qtf * idf w from qg join ti using (term)), qn as (select qid, sqrt(sum(w * w)) nrm from qw group by 1),
  tf as (select qid, doc_id, sum(tw.w * qw.w) / any_value(tn.nrm) / any_value(qn.nrm) score from tw join qw using (term) join tn using (doc_id) join qn using (qid) group by all)
 """
 
@@ -225,6 +262,16 @@ ORACLE = {
         hy as (select qid, doc_id, 0.6 * coalesce(a1.s, 0) + 0.4 * coalesce(a2.s, 0) score from a1 full join a2 using (qid, doc_id))""" + _top("hy", K, "b") + "select qid, doc_id, score, rank from b",
     "rrf_fusion_topk": _LEX + _top("tf", DEPTH, "t1") + _top("bm", DEPTH, "b1") + ", rr as (select qid, doc_id, sum(part) score, count(*)::int n_channels from (select qid, doc_id, 1.0 / (60 + rank) part from t1 union all select qid, doc_id, 0.8 / (60 + rank) from b1) group by all)" + _top("rr", K, "b") + "select qid, doc_id, score, n_channels, rank from b",
     "metadata_filtered_topk": _LEX + ", f as (select * from bm where doc_id in (select doc_id from documents where source in ('national_portal', 'utility_board')))" + _top("f", K, "b") + "select qid, doc_id, score, rank from b",
+    "fulltext_topk": _LEX + ", fi as (select term, greatest(ln(nn - df + 0.5) - ln(df + 0.5), 1e-6) idf from dfs, st), f as (select q.qid, p.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avgdl))) score from p join q using (term) join fi using (term) join len using (doc_id), st group by all)" + _top("f", K, "b") + "select qid, doc_id, score, rank from b",
+    "evidence_rerank": _LEX + _top("bm", 20, "b") + f""", o as (select qid, doc_id, score, list_filter(list_distinct({_TOK.format('en')}), lambda x: length(x) > 2) qw, list_distinct({_TOK.format("concat_ws(' ', source, text)")}) tw, list_distinct({_TOK.format('source')}) sw, list_distinct(regexp_extract_all(en, '[0-9]+(?:[.,][0-9]+)?')) qn, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)?')) tn from b join documents using (doc_id) join cpv_catalog on code = qid),
+        z as (select qid, doc_id, round(0.50 * ({_MM}) + 0.30 * (case when len(qw) > 0 then len(list_intersect(qw, tw)) / len(qw) else 0.0 end) + 0.15 * (case when len(qn) > 0 then len(list_intersect(qn, tn)) / len(qn) else 1.0 end) + 0.05 * (case when len(qw) > 0 then len(list_intersect(qw, sw)) / len(qw) else 0.0 end), 6) final from o window w as (partition by qid))
+        select qid, doc_id, final, row_number() over (partition by qid order by final desc, doc_id)::int new_rank from z""",
+    "context_modes": _LEX + _top("bm", 20, "b") + """, t as (select qid, doc_id, rank, text, coalesce(source, chr(3)) doc, coalesce(lang, chr(3)) lang from b join documents using (doc_id)),
+        m as (select 'ranked' mode, *, rank o from t union all select 'kg_first', *, case when rank % 5 = 0 then rank else 100 + rank end from t union all select 'group_by_doc', * exclude (g), dense_rank() over (partition by qid order by g, doc) * 100 + rank from (select *, min(rank) over (partition by qid, doc) g from t) union all select 'dedupe_section', * exclude (s), rank from (select *, row_number() over (partition by qid, doc, lang order by rank) s from t) where s = 1),
+        pl as (select *, row_number() over (partition by mode, qid order by o) place from m), u as (select *, sum(length(text)) over (partition by mode, qid order by place) c from pl where place <= 8) select mode, qid, doc_id, place::int place from u where c <= 4000 or place = 1""",
+    "cross_rerank": _LEX + _top("bm", 20, "b") + f""", o as (select qid, doc_id, score s0, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(en), '\\s+'), lambda x: x <> '')), list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) / greatest(1, len(list_distinct(list_filter(regexp_split_to_array(lower(en), '\\s+'), lambda x: x <> '')))) mx from b join documents using (doc_id) join cpv_catalog on code = qid),
+        z as (select qid, doc_id, round(0.65 * ({_MM.replace('score', 'mx')}) + 0.35 * ({_MM.replace('score', 's0')}), 6) score from o window w as (partition by qid)) select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id)::int rank from z""",
+    "metadata_fuzzy_filter": "select doc_id from documents where (contains(coalesce(source, ''), 'national') and contains(source, 'portal') or source in ('utility_board', 'board', 'utility')) and coalesce(lang, '') not in ('de')",
     "self_exclusion_topk": _LEX + ", f as (select bm.* from bm join documents using (doc_id) where cpv_code is distinct from qid)" + _top("f", K, "b") + "select qid, doc_id, score, rank from b",
     "lexical_rerank": _LEX + _top("bm", 20, "b") + f""", o as (select b.*, len(list_intersect(list_distinct({_TOK.format('en')}), list_distinct({_TOK.format('text')}))) / len(list_distinct({_TOK.format('en')})) ov from b join documents using (doc_id) join cpv_catalog on code = qid),
         z as (select *, case when rank > {K} then score else round(0.65 * ({_MM}) + 0.35 * ov, 6) end final from o window w as (partition by qid))

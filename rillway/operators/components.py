@@ -10,8 +10,8 @@ from rillway.session import Scratch
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b); the component is its smallest node.
 
-    Every round pre-aggregates the labels that reach a node before they are shuffled, so that a node with very
-    many edges is no hot spot. Nulls, loops and repeated edges are passed over; no edges give no rows.
+    Every round pre-aggregates the labels that reach a node before they are shuffled. Rows of one hub or one large component
+    meet a single row on the other side of each join, so adaptive execution can split them. Nulls, loops and repeated edges are passed over; no edges give no rows.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark)

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from rillway.session import Scratch
 
 PEEL_ROUNDS = 4
+#: Places of an interval that are laid out from one row.
+INTERVAL_PART = 10_000
 SIBLING_BUCKETS = 64
 
 
@@ -108,7 +110,7 @@ def hierarchy(df: DataFrame, scope: str, node: str, parent: str) -> DataFrame:
     """Full hierarchy of the links (scope, node, parent) of df.
 
     Returns scope, node, parent, root, depth, entry, exit, n_descendants, in_cycle: one row per node of each scope.
-    A node d is a descendant of a exactly when both have the same root and a.entry < d.entry < a.exit. A node on
+    entry and exit are places in the tour of the tree, counted back from its end. A node d is a descendant of a exactly when both have the same root and a.entry < d.entry < a.exit. A node on
     a cycle, or whose way up leads into one, has in_cycle true, root null and depth -1; its interval is that
     within the part below the cycle node. Repeated rows count once, empty input gives no rows, further columns of
     df are ignored. See clean_links for nulls and contradicting parents.
@@ -124,8 +126,7 @@ def hierarchy(df: DataFrame, scope: str, node: str, parent: str) -> DataFrame:
     one = flat.groupBy("scope", "node", "root").agg(
         F.max(F.when(F.col("enter"), F.col("cnt"))).alias("c_in"), F.max(F.when(~F.col("enter"), F.col("cnt"))).alias("c_out"), F.max(F.when(F.col("enter"), -F.col("s"))).alias("depth")
     )
-    size = one.where("node = root").select("scope", "root", F.col("c_in").alias("total"))
-    out = one.join(size, ["scope", "root"]).join(links, ["scope", "node"])
+    out = one.join(links, ["scope", "node"])
     bad = cycles.select("scope", F.col("node").alias("root"), "ring")
     out = out.join(bad, ["scope", "root"], "left")
     return out.select(
@@ -134,8 +135,8 @@ def hierarchy(df: DataFrame, scope: str, node: str, parent: str) -> DataFrame:
         "parent",
         F.when(F.col("ring"), None).otherwise(F.col("root")).alias("root"),
         F.when(F.col("ring"), F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("depth"),
-        (F.col("total") - F.col("c_in")).alias("entry"),
-        (F.col("total") - F.col("c_out")).alias("exit"),
+        (-F.col("c_in")).alias("entry"),
+        (-F.col("c_out")).alias("exit"),
         ((F.col("c_in") - F.col("c_out") - 1) / 2).cast("long").alias("n_descendants"),
         F.coalesce("ring", F.lit(False)).alias("in_cycle"),
     )
@@ -155,3 +156,17 @@ def ancestor_paths(tree: DataFrame) -> DataFrame:
         scratch.drop(now)
         now = new
     return now.select("scope", "node", "path")
+
+
+def descendants(tree: DataFrame) -> DataFrame:
+    """(scope, node, descendant): each node of hierarchy() that isn't in_cycle with each of its descendants, from the entry-exit intervals.
+
+    The places within a node's interval are laid out, in parts of bounded length, and met with the entries at them: an equi-join
+    whose keys are all different on the side of the entries, so neither deep nor wide trees make a hot key.
+    """
+    t = tree.where("not in_cycle").select("scope", "root", "node", "entry", "exit")
+    wide = t.where("exit - entry > 1").withColumn("k", F.explode(F.expr(f"sequence(0, cast((exit - entry - 2) div {INTERVAL_PART} as int))")))
+    low = F.col("entry") + 1 + F.col("k") * INTERVAL_PART
+    places = wide.select("scope", "root", "node", F.explode(F.sequence(low, F.least(low + INTERVAL_PART - 1, F.col("exit") - 1))).alias("at"))
+    found = t.select("scope", "root", F.col("entry").alias("at"), F.col("node").alias("descendant"))
+    return places.join(found, ["scope", "root", "at"]).select("scope", "node", "descendant")

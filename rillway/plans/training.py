@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillway.operators.hierarchy import ancestor_paths, hierarchy
+from rillway.operators.hierarchy import ancestor_paths, descendants, hierarchy
 from rillway.operators.records import notice_entities
 from rillway.session import spread, table
 
@@ -77,9 +77,8 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each code with each of its descendants, from the paths: one row per pair, so no list of descendants has to fit one row."""
-    paths = ancestor_paths(_tree(spark, d))
-    return paths.select(F.col("scope").alias("source_fingerprint"), F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("code"), F.col("node").alias("descendant_code"))
+    """Each code with each of its descendants, one row per pair, so no list of descendants has to fit one row."""
+    return descendants(_tree(spark, d)).select(F.col("scope").alias("source_fingerprint"), F.col("node").alias("code"), F.col("descendant").alias("descendant_code"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_notices, p1_lots, p1_items, p1_criteria, p1_codes, p1_fields, p4_found, p4_paths, p4_descendants)}
@@ -92,10 +91,6 @@ _TREE = """with recursive src as (
  t as (select n.f, n.c, n.c root, 0 depth, n.c path from n left join l on n.f = l.f and n.c = l.c where l.c is null
        union all select l.f, l.c, t.root, t.depth + 1, t.path || '/' || l.c from t join l on l.f = t.f and l.p = t.c)
 """
-_LEAVES = """with recursive v as (select notice_row_id id, origin, body::json j from
-   (select notice_row_id, 'raw' origin, raw_notice_json body from ted_notices union all select notice_row_id, 'codes', all_cpv_codes_json from ted_notices) where json_valid(body)),
- tr as (select v.id, v.origin, x.key k, x.type ty, x.atom a, x.id nid, x.parent pid, x.fullkey fk from v, json_tree(v.j) x),
-"""
 ORACLE = {
     "p4_found": _TREE + "select n.f source_fingerprint, n.c code, coalesce(t.root, '') root_code, coalesce(t.depth, -1)::int depth from n left join t on n.f = t.f and n.c = t.c",
     "p4_paths": _TREE + "select f source_fingerprint, c code, path, depth::int depth, (select count(*) from t d where d.f = t.f and starts_with(d.path, t.path || '/')) n_descendants from t",

@@ -42,7 +42,7 @@ def _bucket(key: str) -> Column:
 
 
 def upsert(spark: SparkSession, new: DataFrame, key: str, order: Sequence[str], path: str) -> int:
-    """Put rows into the table at path: per key the last by order counts, old rows included. Only the buckets of keys that new rows have are written again; returns how many.
+    """Put rows into the table at path: per key the last by order counts, old rows included, and of equals the new one. Only the buckets of keys that new rows have are written again; returns how many.
 
     The table is kept in folders of key buckets; a bucket is first written aside, so a lost executor leaves the old one.
     """
@@ -54,9 +54,10 @@ def upsert(spark: SparkSession, new: DataFrame, key: str, order: Sequence[str],
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
             raise
         old = None
-    every = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order])
-    last = every.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    new = new.withColumn("_n", F.lit(1))
+    every = new if old is None else old.withColumn("_n", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order], F.desc("_n"))
+    last = every.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_n")
     aside = path.rstrip("/") + "__new"
     last.write.mode("overwrite").partitionBy("_b").parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b").parquet(path)

@@ -233,7 +233,7 @@ ORACLE = {
     "design_pareto": _TR + ", co as (select experiment, round(avg(cost), 5) mean_cost, round(avg(quality), 5) mean_quality from tr group by 1) select experiment, mean_quality, mean_cost, (not exists (select 1 from co o where o.mean_quality >= co.mean_quality and o.mean_cost <= co.mean_cost and (o.mean_quality > co.mean_quality or o.mean_cost < co.mean_cost)))::int is_optimal from co",
     "strategy_improvements": _TR + ", im as (select t.experiment, round(t.quality - b.quality, 6) g from tr t join tr b on b.experiment = 'none-5' and b.qid = t.qid where t.experiment <> 'none-5') select experiment, count(*) filter (g > 0) improved, count(*) filter (g < 0) degraded, count(*) filter (g = 0) unchanged, round(avg(g), 5) mean_gain from im group by 1",
     "metrics_by_question_type": _TR + "select experiment, question_type, count(*) n, round(avg(quality), 5) mean_quality, round(avg(mrr_at_k), 5) mean_mrr, round(avg(recall_at_k), 5) mean_recall, round(avg(failed::int), 5) failure_rate from tr group by grouping sets ((experiment), (experiment, question_type))",
-    "score_experiments": _TR + """, se as (select experiment, count(*) n, count(*) filter (auto_flag = 'correct') n_correct, 0.1 answer_score, round((count(*) filter (auto_flag = 'correct') + 0.5 * count(*) filter (recall_at_k = 1)) / count(*), 6) correctness_score, round(0.3 * coalesce(avg(ndcg_at_k), 0) + 0.25 * avg(mrr_at_k) + 0.15 * avg(recall_at_k), 6) retrieval_score from tr group by 1),
+    "score_experiments": _TR + """, se as (select experiment, count(*) n, count(*) filter (auto_flag = 'correct') n_correct, 0.1::double answer_score, round((count(*) filter (auto_flag = 'correct') + 0.5 * count(*) filter (recall_at_k = 1)) / count(*), 6) correctness_score, round(0.3 * coalesce(avg(ndcg_at_k), 0) + 0.25 * avg(mrr_at_k) + 0.15 * avg(recall_at_k), 6) retrieval_score from tr group by 1),
         sf as (select *, round(0.45 * answer_score + 0.35 * correctness_score + 0.20 * retrieval_score, 6) total from se), sg as (select *, row_number() over (order by total desc, n_correct desc, experiment)::int rank from sf) select *, case when rank = 1 then 'best: ' || experiment || ' with total ' || printf('%.3f', total) end recommendation from sg""",
     "row_advice": _ADV + "select * from rw",
     "summary_advice": _DG + _SUM + "select * from sr",

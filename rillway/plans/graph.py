@@ -121,6 +121,6 @@ ORACLE = {
         cx as (select qid, {_NF.format("array_to_string(list_sort(list(concat_ws(' ', section_id, nullif(title, ''), text))), ' ')")} x, list(distinct section_id) ids from rt group by 1),
         t as (select doc_id qid, section_id, {_NF.format('section_id')} sn, {_NF.format('title')} o from ch where trim(section_id) <> '' and trim(title) <> ''),
         h as (select qid, list_contains(ids, section_id) sec, {_IN.format('x', 'sn')} s, {_IN.format('x', 'o')} o, {_IN.format('x', 'sn')} and {_IN.format('x', 'o')} and contains(x, '§') r from t join cx using (qid))
-        select qid, count(*) n_triples, 1.0 doc_recall, round(avg(sec::int), 6) section_recall, round(avg(s::int), 6) subject_recall, round(avg(o::int), 6) object_recall, round(avg(r::int), 6) relation_evidence_recall, null relation_recall,
+        select qid, count(*) n_triples, 1.0::double doc_recall, round(avg(sec::int), 6) section_recall, round(avg(s::int), 6) subject_recall, round(avg(o::int), 6) object_recall, round(avg(r::int), 6) relation_evidence_recall, null::double relation_recall,
         case when bool_or(not sec) then 'missing_section' when bool_or(not s) and bool_or(not o) then 'entities_missing' when bool_or(not s) then 'subject_missing' when bool_or(not o) then 'object_missing' when bool_or(not r) then 'entities_found_relation_missing' else 'ok' end error from h group by 1""",
 }

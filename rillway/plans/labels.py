@@ -204,7 +204,7 @@ def level(a: str, b: str) -> str:
 
 
 def bonus(source: str, extra: str, more: str = "") -> str:
-    return f"select qid, code, bonus, score, row_number() over (partition by qid order by score desc{', ' + more + ' desc' if more else ''}, code)::int rank{', ' + more if more else ''} from (select *, round(score0 + bonus, 6) score from (select *, score score0, round({extra}, 6) bonus from ({source})) s0) s1".replace("select *, round(score0", "select * exclude (score), round(score0")
+    return f"select qid, code, bonus::double bonus, score, row_number() over (partition by qid order by score desc{', ' + more + ' desc' if more else ''}, code)::int rank{', ' + more if more else ''} from (select *, round(score0 + bonus, 6) score from (select *, score score0, round({extra}, 6) bonus from ({source})) s0) s1".replace("select *, round(score0", "select * exclude (score), round(score0")
 
 
 _PARENT = "case when length(rtrim(code, '0')) > 2 then rpad(substr(code, 1, length(rtrim(code, '0')) - 1), 8, '0') end"
@@ -326,14 +326,14 @@ ORACLE = {
     "specificity_bias": _PROF + f", ft as (select *, round({_CO}, 6) fit from c)\n" + bonus("select a.*, u.fit pfit, (select max(k.fit) from ft k where k.qid = a.qid and k.parent = a.code) cfit from ft a left join ft u on u.qid = a.qid and u.code = a.parent", "case when code_level >= 8 and fit >= round(pfit - 0.03, 6) then 0.09 else 0.0 end - case when code_level < 8 and cfit >= round(fit - 0.02, 6) then 0.10 else 0.0 end"),
     "hierarchical_beam": _BEAM + bonus("select c0.*, round(b2.s / 3 + b4.s / 3 + b6.s / 3, 6) stage, b2.n n2, b4.n n4, b6.n n6 from c0 join b2 on b2.qid = c0.qid and b2.p = substr(code, 1, 2) join b4 on b4.qid = c0.qid and b4.p = substr(code, 1, 4) join b6 on b6.qid = c0.qid and b6.p = substr(code, 1, 6)", "(case when n2 <= 4 then 0.03 else 0.0 end) + (case when n4 <= 6 then 0.05 else 0.0 end) + (case when n6 <= 10 then 0.07 else 0.0 end)", "stage"),
     "local_branch_decision": _PROF + _dominant((6, 4, 2)) + f", lb as (select qid, code, {mm('score')} norm, row_number() over (partition by qid order by score desc, code) r, count(*) over (partition by qid) n from c0 join dm using (qid) where starts_with(code, branch))\n" + bonus("select c0.*, norm, r from c0 left join (select * from lb where n >= 2) using (qid, code)", "coalesce(0.08 * norm + greatest(0.0, 0.08 - 0.01 * (r - 1)), 0.0)"),
-    "post_refine": _PROF + f", t as (select c0.*, parent from c0 join cat using (code) where rank <= {K}), rl as (select a.qid, a.code, avg(b.score) support, count(*) n from t a join t b on a.qid = b.qid and a.code <> b.code where a.parent = b.parent or {level('a.code', 'b.code')} >= 4 or exists (select 1 from anc where anc.code = a.code and anc.a = b.code) or exists (select 1 from anc where anc.code = b.code and anc.a = a.code) group by all)\n" + bonus("select t.*, coalesce(support, 0) support, coalesce(n, 0) n_related from t left join rl using (qid, code)", "0.10 * support + least(0.03, 0.01 * n_related)").replace("select qid, code, bonus, score,", "select qid, code, bonus, score, n_related,"),
+    "post_refine": _PROF + f", t as (select c0.*, parent from c0 join cat using (code) where rank <= {K}), rl as (select a.qid, a.code, avg(b.score) support, count(*) n from t a join t b on a.qid = b.qid and a.code <> b.code where a.parent = b.parent or {level('a.code', 'b.code')} >= 4 or exists (select 1 from anc where anc.code = a.code and anc.a = b.code) or exists (select 1 from anc where anc.code = b.code and anc.a = a.code) group by all)\n" + bonus("select t.*, coalesce(support, 0) support, coalesce(n, 0) n_related from t left join rl using (qid, code)", "0.10 * support + least(0.03, 0.01 * n_related)").replace("select qid, code, bonus::double bonus, score,", "select qid, code, bonus::double bonus, score, n_related,"),
     "decision_gates": _PROF + f""", g as (select *, round(s1 - s2, 6) m, {level('k1', 'k2')} pr from ({_GATES})), h as (select *, case when s2 is null then 'not_enough_candidates' when m <= 0.10 then 'close_score_margin' when m <= 0.16 and (pr >= 4 or b6 <= 2) then 'same_branch_cluster' else 'high_confidence' end y from g)
         select qid, m margin, round(case when s2 is null then {_CONF} else greatest(0.05, least(1.0, {_CONF} * (0.45 + 0.55 * least(1.0, greatest(0.0, m) / 0.12)) * case when b5 <= 1 then 1.0 when b5 = 2 then 0.72 else 0.55 end)) end, 6) confidence, y in ('close_score_margin', 'same_branch_cluster') rerank, y rerank_reason,
         y in ('close_score_margin', 'same_branch_cluster') and (m <= 0.35 or (m <= 0.8 and (b5 <= 2 or pr >= 2))) ask_model from h""",
     "hard_negatives": _PROF + f""", p0 as (select qid, gold, n.code negative, {level('gold', 'n.code')} lv, coalesce(g.parent = n.parent, false) sib, round(0.60 * {ov('q', 'n.t_canonical')} + 0.25 * {ov('g.t_canonical', 'n.t_canonical')} + 0.15 * {level('gold', 'n.code')} / 8.0, 6) conf from qs join pf g on g.code = gold join pf n on n.code <> gold),
         p1 as (select *, case when sib then 4.5 when lv >= 6 then 4.0 when lv >= 4 then 3.0 when lv >= 2 then 2.0 else 1.0 end weight, md5(qid::varchar || '|' || negative) h, unnest(list_filter([case when sib or lv >= 4 then 0 end, case when sib then 1 end, case when lv >= 6 then 2 end, case when lv = 4 then 3 end, case when lv = 2 then 4 end, 5], lambda x: x is not null)) bucket from p0),
         p2 as (select *, row_number() over (partition by qid, bucket order by h, negative) dr from p1), p3 as (select *, row_number() over (partition by qid, bucket order by conf desc, negative) r from p2 where bucket in (0, 5) or dr <= 8),
-        p4 as (select qid, gold, negative, weight, min(bucket * 10 + r) pl from p3 where r <= 3 group by all) select qid, gold, negative, weight from (select *, row_number() over (partition by qid order by pl, negative) n from p4) where n <= 6""",
+        p4 as (select qid, gold, negative, weight, min(bucket * 10 + r) pl from p3 where r <= 3 group by all) select qid, gold, negative, weight::double weight from (select *, row_number() over (partition by qid order by pl, negative) n from p4) where n <= 6""",
     "stage_prefixes": _PROF + """, s0 as (select qid, substr(code, 1, 4) prefix, score, row_number() over (partition by qid, substr(code, 1, 4) order by score desc, code) r from c0), s1 as (select qid, prefix, round(0.55 * avg(score) filter (r <= 3) + 0.40 * max(score) + least(0.05, 0.01 * count(*)), 6) score from s0 group by all)
         select qid, prefix, score from (select *, row_number() over (partition by qid order by score desc, prefix) i, max(score) over (partition by qid) b from s1) where i <= 2 or score >= 0.9 * b""",
     "rank_diagnostics": _DIAG + "select * from gg",

@@ -296,3 +296,21 @@ def evidence_spans(items: DataFrame, chunks: DataFrame, most: int = 4, least: fl
     ranked = best.select("qid", "no", "claim", "b.chunk_id", F.col("b.s").alias("support"), F.trim(F.substr("b.text", start, F.lit(240))).alias("snippet"))
     w = Window.partitionBy("qid").orderBy(F.desc("support"), "no")
     return ranked.withColumn("r", F.row_number().over(w)).where(f"r <= {most}").drop("r")
+
+
+def cards(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(qid, n_chunks, n_texts, best, margin, grounding): what is shown beside an answer: how much was retrieved, how far the best chunk is ahead, and the share of the answer's claims that the context supports."""
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    c = chunks.groupBy("qid").agg(F.count("*").alias("n_chunks"), F.count_distinct("text").alias("n_texts"), F.round(at(1), 6).alias("best"), F.round(at(1) - at(2), 6).alias("margin"))
+    g = mapped.where("claim_type = 'answer'").groupBy("qid").agg(F.round(F.avg(F.col("in_context").cast("int")), 6).alias("grounding"))
+    return c.join(g, "qid", "left")
+
+
+def benchmark_warnings(items: DataFrame) -> DataFrame:
+    """(warning, n): questions without a text, without a gold answer though answerable, with a gold answer though not, without keywords, and questions that occur more than once."""
+    able = F.coalesce("answerable", F.lit(True))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    flags = {"no_question": blank("question"), "no_gold_answer": able & blank("gold"), "gold_though_unanswerable": ~able & ~blank("gold"), "no_keywords": F.coalesce(F.size("keywords"), F.lit(0)) <= 0}
+    a = items.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+    twice = items.where(~blank("question")).groupBy("question").agg(F.count("*").alias("k")).where("k > 1").agg(F.sum("k").alias("n")).where("n > 0").select(F.lit("repeated_question").alias("warning"), "n")
+    return a.unionByName(twice)

@@ -358,3 +358,14 @@ def path_grounding(claims: DataFrame, paths: DataFrame) -> DataFrame:
     return d.groupBy("qid").agg(
         F.round(F.avg(F.col("has").cast("int")), 6).alias("path_support"), F.round(F.avg((F.col("has") & F.col("in_context")).cast("int")), 6).alias("grounded"), F.round(F.avg(F.when(~F.col("in_context"), (~F.col("has")).cast("int"))), 6).alias("unsupported_without_path"),
     )
+
+
+def added_noise(found: DataFrame, chunks: DataFrame, questions: DataFrame, triples: DataFrame) -> DataFrame:
+    """(qid, n_added, n_noise, precision) of the chunks that only the graph led to: noise are preambles, chunks of low quality for the question, and those without a subject or object of its gold triples (where it has any)."""
+    t = triples.where("trim(subject) <> '' and trim(object) <> ''").groupBy("qid").agg(F.collect_set(name_form(F.col("subject"))).alias("ss"), F.collect_set(name_form(F.col("object"))).alias("os"))
+    c = chunks.select("chunk_id", "section_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), name_form(F.concat_ws(" ", "doc_id", "section_id", "title", "text")).alias("x"))
+    d = found.where("source = 'graph'").select("qid", "chunk_id").join(c, "chunk_id").join(questions.select("qid", "question"), "qid").join(t, "qid", "left")
+    none = F.col("ss").isNotNull() & ~F.exists("ss", lambda s: contains(F.col("x"), s)) & ~F.exists("os", lambda o: contains(F.col("x"), o))
+    noise = (F.lower("section_id") == "preamble") | (chunk_quality(F.col("question"), F.col("place"), F.col("section_id")) < 0.5) | none
+    d = d.withColumn("noise", F.coalesce(noise, F.lit(False)))
+    return d.groupBy("qid").agg(F.count("*").alias("n_added"), F.count_if("noise").alias("n_noise"), F.round(F.avg((~F.col("noise")).cast("int")), 6).alias("precision"))

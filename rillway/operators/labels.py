@@ -33,7 +33,8 @@ def ranked(c: DataFrame, *then: Column) -> DataFrame:
 
 def bonus(c: DataFrame, extra: Column) -> DataFrame:
     """Candidates with extra added to the score, ranked anew; the added part stays in the column bonus."""
-    return ranked(c.withColumn("bonus", F.round(extra, DIGITS)).withColumn("score", F.col("score") + F.col("bonus")))
+    # a hair is added, so that what is exactly between two numbers is rounded alike whatever the order of the sums
+    return ranked(c.withColumn("bonus", F.round(extra + 1e-9, DIGITS)).withColumn("score", F.col("score") + F.col("bonus")))
 
 
 def normal_score(c: DataFrame) -> Column:

@@ -128,6 +128,14 @@ def evidence_spans(spark: SparkSession, d: str) -> DataFrame:
     return A.evidence_spans(_items(spark, d), _chunks(spark, d))
 
 
+def answer_cards(spark: SparkSession, d: str) -> DataFrame:
+    return A.cards(_chunks(spark, d), A.claim_map(_items(spark, d), _chunks(spark, d)))
+
+
+def benchmark_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return A.benchmark_warnings(_items(spark, d))
+
+
 def decisive_markers(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, "documents").select("doc_id", "text"))
     return t.select("doc_id", F.explode(M.markers("text")).alias("marker"))
@@ -146,7 +154,7 @@ def program_filter(spark: SparkSession, d: str) -> DataFrame:
     return t.join(q, "program_id").select("section_row_id", M.metadata_matches(F.col("actual"), F.col("expected")).cast("int").alias("matches"))
 
 
-QUERIES = {f.__name__: f for f in (text_forms, claims_split, reference_units, claim_map, claim_metrics, answer_overlaps, answer_metrics, answer_summary, runtime_evidence, keyword_relevance, keyword_retrieval_metrics, diagnose_failure, diagnosis_summary, extractive_answer, evidence_spans, decisive_markers, slugs, program_filter)}
+QUERIES = {f.__name__: f for f in (text_forms, claims_split, reference_units, claim_map, claim_metrics, answer_overlaps, answer_metrics, answer_summary, runtime_evidence, keyword_relevance, keyword_retrieval_metrics, diagnose_failure, diagnosis_summary, extractive_answer, evidence_spans, answer_cards, benchmark_warnings, decisive_markers, slugs, program_filter)}
 
 
 # oracles
@@ -261,6 +269,9 @@ ORACLE = {
         from {forms('it', 'qid', 'question', 'q_')} q left join {forms('(select qid, context from it left join ctx using (qid))', 'qid', 'context', 'x_')} x using (qid)),
         s as (select *, case when top_score is null then 'missing_evidence' when relevance >= 0.18 or (top_score >= 0.08 and relevance >= 0.6 * 0.18) then 'good_evidence' when relevance >= 0.6 * 0.18 or (top_score >= 0.6 * 0.08 and relevance > 0) then 'weak_evidence' else 'missing_evidence' end status from f)
         select qid, status, case status when 'good_evidence' then 'answer' when 'weak_evidence' then 'retrieve_more_or_rewrite' else 'abstain' end as action, round(case when top_score is null then 0.0 else least(1.0, greatest(relevance, 0.5 * least(top_score / 0.08, 1.0))) end, 6) score, round(relevance, 6) relevance, round(top_score, 6) top_score from s""",
+    "answer_cards": _CLAIMS + ", cc as (select qid, count(*) n_chunks, count(distinct text) n_texts, round(0.2 / min(rank), 6) best, round(0.2 - max(case when rank = 2 then 0.1 end), 6) margin from ch group by 1), gc as (select qid, round(avg(in_context::int), 6) grounding from mp where claim_type = 'answer' group by 1) select * from cc left join gc using (qid)",
+    "benchmark_warnings": _QA + """, w as (select *, coalesce(answerable, true) a, trim(coalesce(question, '')) = '' nq, trim(coalesce(gold, '')) = '' ng from it), x as (select case when nq then 'no_question' end w from w union all select case when a and ng then 'no_gold_answer' end from w union all select case when not a and not ng then 'gold_though_unanswerable' end from w union all select case when len(keywords) = 0 then 'no_keywords' end from w)
+        select w warning, count(*) n from x where w is not null group by 1 union all select * from (select 'repeated_question', sum(k)::bigint n from (select count(*) k from w where not nq group by question having count(*) > 1)) where n > 0""",
     "keyword_relevance": _GRADES + "select qid, chunk_id, n_keys, coverage, overlap, grade from gr",
     "keyword_retrieval_metrics": _GRADES + """, i as (select *, row_number() over (partition by qid order by grade desc, rank) p from gr), m as (select qid, min(rank) filter (grade >= 2) fr, sum(case when rank <= 5 then (2 ^ grade - 1) / log2(rank + 1) end) dcg, sum(case when p <= 5 then (2 ^ grade - 1) / log2(p + 1) end) idcg, count(*) filter (grade >= 2 and rank <= 5) h, count(*) filter (grade >= 2) r from i group by 1)
         select qid, fr::int first_relevant_rank, round(coalesce(1 / fr, 0), 6) mrr, round(case when idcg > 0 then least(1.0, dcg / idcg) end, 6) ndcg, round(h / nullif(r, 0), 6) recall from m""",

@@ -83,6 +83,11 @@ def kg_expansion_gain(spark: SparkSession, d: str) -> DataFrame:
     return K.expansion_gain(K.triple_hits(_triples(c), show(_retrieved(c))), K.triple_hits(_triples(c), show(got)))
 
 
+def kg_added_noise(spark: SparkSession, d: str) -> DataFrame:
+    c, e, r = _graph(spark, d)
+    return K.added_noise(K.augmented_retrieval(_questions(c), _retrieved(c, 1), e, r, c, "exploratory"), c, _questions(c), _triples(c))
+
+
 def kg_path_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Claims of each document's longest section against its other sections, and whether the supporting ones hold relations."""
     c, e, r = _graph(spark, d)
@@ -108,7 +113,7 @@ def relation_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (kg_entities, kg_structure, kg_relations, kg_predicates, kg_quality, kg_augmented_retrieval, kg_augmented_direct, kg_triple_evaluation, kg_expansion_gain, kg_path_grounding, kg_supervision, relation_scores)}
+QUERIES = {f.__name__: f for f in (kg_entities, kg_structure, kg_relations, kg_predicates, kg_quality, kg_augmented_retrieval, kg_augmented_direct, kg_triple_evaluation, kg_expansion_gain, kg_added_noise, kg_path_grounding, kg_supervision, relation_scores)}
 
 _CH = """with ch as (select section_row_id chunk_id, doc_id, coalesce(program_name, '') program, coalesce(section_id, '') section_id, coalesce(title, '') title, text from doc_sections s where text is not null and section_row_id = (select min(section_row_id) from doc_sections t where t.doc_id = s.doc_id and t.section_position = s.section_position and t.text is not null))"""
 _NF = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[\"''`´„“”‘’«»]', '', 'g'), '[^\p{{L}}\p{{N}}_§.,\-\s]', ' ', 'g'), '\s+', ' ', 'g'))"

@@ -204,7 +204,7 @@ def level(a: str, b: str) -> str:
 
 
 def bonus(source: str, extra: str, more: str = "") -> str:
-    return f"select qid, code, bonus::double bonus, score, row_number() over (partition by qid order by score desc{', ' + more + ' desc' if more else ''}, code)::int rank{', ' + more if more else ''} from (select *, round(score0 + bonus, 6) score from (select *, score score0, round({extra}, 6) bonus from ({source})) s0) s1".replace("select *, round(score0", "select * exclude (score), round(score0")
+    return f"select qid, code, bonus::double bonus, score, row_number() over (partition by qid order by score desc{', ' + more + ' desc' if more else ''}, code)::int rank{', ' + more if more else ''} from (select *, round(score0 + bonus, 6) score from (select *, score score0, round({extra} + 1e-9, 6) bonus from ({source})) s0) s1".replace("select *, round(score0", "select * exclude (score), round(score0")
 
 
 _PARENT = "case when length(rtrim(code, '0')) > 2 then rpad(substr(code, 1, length(rtrim(code, '0')) - 1), 8, '0') end"

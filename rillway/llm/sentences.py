@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 #: Abbreviations that end in a full stop and seldom end a sentence, lower case, by language.
 ABBREVIATIONS = set(
     "abs art nr z b d h ca bzw usw co dipl ing dr prof hr fr str vgl ggf inkl zzgl bzgl evtl kap anl lit tel st max min allg sog u a o i s f ff bd hrsg jh mio mrd "  # German
-    "no sect approx e.g i.e ltd inc mr mrs ms vs fig vol pp jr sr dept est cf al messrs "  # English
+    "no sect approx sen rep gov gen capt lt col sgt rev hon st e.g i.e ltd inc mr mrs ms vs fig vol pp jr sr dept est cf al messrs "  # English
     "p ex env m mm mme mlle c.-à-d c.-à art chap av boul éd hab ann réf tél "  # French
     "núm aprox sra dña ej cía admón págs pág avda c/ "  # Spanish
     "lda exmo av n.º cf "  # Portuguese
@@ -38,7 +38,9 @@ PAIRS = {"„": "“”", "«": "»", "“": "”", "「": "」", "『": "』",
 QUOTES = re.compile("[\"„«“”「」『』‹›»]")
 THAI_LETTER = re.compile("[฀-๿]")
 CLOSING = "\"'”“’»›)]」』）】"
-END = re.compile(r"(?:[.!?…]+|[。！？।؟]+|(?<=[\u0370-\u03ff\u1f00-\u1fff]);|\u037e)[\"'”“’»›)\]」』）】]*(?:[   ][»”](?=[\s.,;]|$))?")
+#: Marks that end sentences in scripts that put no blank after them or have a mark of their own.
+WIDE_ENDS = "。！？｡।॥؟۔։．"
+END = re.compile(rf"(?:[.!?…]+|．(?!\d)|[{WIDE_ENDS[:-1]}]+|(?<=[\u0370-\u03ff\u1f00-\u1fff]);|\u037e)[\"'”“’»›)\]」』）】]*(?:[   ][»”](?=[\s.,;]|$))?")
 WORD_BEFORE = re.compile(r"[^\s(\[\"'„“«»]+$")
 OPENER_NUMBER = re.compile(r"[(\[]?\d{1,3}(?:\.\d{1,3})*[.)\]]{1,2}$")
 DOTTED = re.compile(r"(?:[^\W\d_][^\W\d_\u0900-\u097f]?[\u0900-\u097f]{0,2}\.)+[^\W\d_]?[\u0900-\u097f]{0,3}")
@@ -64,7 +66,7 @@ def _soft_feeds(lines: list[str]) -> list[bool]:
         tight = len(a) + (1 if nxt[0][0] > "⺀" else 1 + len(nxt[0])) > width
         full.append(tight)
         loose += not tight
-        inner += tight and a[-1] not in ".!?…。！？।؟:;" and (nxt[0][0].islower() or nxt[0][0].isdigit())
+        inner += tight and a[-1] not in ".!?…:;" + WIDE_ENDS and (nxt[0][0].islower() or nxt[0][0].isdigit())
     hits = sum(full)
     wrapped = hits and loose <= 0.25 * (hits + loose) and (inner or hits >= 3)
     return full if wrapped else [False] * len(full)
@@ -122,14 +124,14 @@ def _abbreviated(low: str) -> bool:
 
 def closing_score(word: str, mark: str, before: str) -> float:
     """How well a sentence closes with the word before its mark; before is the text ahead of the word."""
-    if mark[0] in "。！？।؟":
+    if mark[0] in WIDE_ENDS:
         return 4.0
     if mark[0] in "!?…;\u037e" or mark.startswith("..."):
         return 3.0
     low = word.lower().rstrip(".")
     last = before.rstrip()
     prior = WORD_BEFORE.search(last)
-    if OPENER_NUMBER.match(word + ".") and (not last or (last[-1] in ".!?…:;।。" and not _abbreviated(prior[0].lower() if prior else ""))):
+    if OPENER_NUMBER.match(word + ".") and (not last or (last[-1] in ".!?…:;" + WIDE_ENDS and not _abbreviated(prior[0].lower() if prior else ""))):
         return -9.0
     if low.isdigit() and len(low) < 3:
         return -4.0 if prior and prior[0].lower() in BEFORE_ORDINAL else 1.5

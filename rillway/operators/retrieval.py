@@ -33,7 +33,8 @@ def tokenised(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def _counted(cut: DataFrame, key: str, terms: Column) -> DataFrame:
-    return cut.select(key, F.size("t").alias("n_terms"), F.explode(terms).alias("term")).groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
+    # explode would be given a filter on the size of the tokens, for which texts are cut a second time below the exchange
+    return cut.select(key, F.size("t").alias("n_terms"), F.explode_outer(terms).alias("term")).where("term is not null").groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:

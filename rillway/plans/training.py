@@ -91,7 +91,24 @@ _TREE = """with recursive src as (
  t as (select n.f, n.c, n.c root, 0 depth, n.c path from n left join l on n.f = l.f and n.c = l.c where l.c is null
        union all select l.f, l.c, t.root, t.depth + 1, t.path || '/' || l.c from t join l on l.f = t.f and l.p = t.c)
 """
+_NESTED = r"""with v as (select notice_row_id id, raw_notice_json::json j from ted_notices where json_valid(raw_notice_json)),
+ t1 as (select v.id, x.fullkey fk, x.path pa, x.key k, x.type ty, x.atom ->> '$' a from v, json_tree(v.j) x),
+ en as (select id, fk, a::json j from t1 where ty = 'VARCHAR' and regexp_matches(a, '^\s*[\[{]') and contains(a, '{') and json_valid(a)),
+ t2 as (select en.id, en.fk || substr(x.fullkey, 2) fk, en.fk || substr(x.path, 2) pa, x.key k, x.type ty, x.atom ->> '$' a from en, json_tree(en.j) x),
+ tr as (select * from t1 union all select * from t2),
+ named as (select id, pa fk, a lot from tr where k = 'lot-id' and ty not in ('OBJECT', 'ARRAY', 'NULL')),
+ lots as (select * from named union all select o.id, o.fk, o.k from tr o where o.ty = 'OBJECT' and regexp_matches(o.pa, '\."?lots"?$') and o.k is not null and regexp_matches(o.fk, '\."?lots"?\.[^\[\]]*$') and not exists (select 1 from named n where n.id = o.id and (n.fk = o.pa or n.fk = o.fk))),
+ sch as (select id, pa, lower(trim(a)) s from tr where k = 'scheme' and ty = 'VARCHAR'),
+ lf as (select tr.id, fk, case when ty in ('UBIGINT', 'BIGINT') and length(a) = 7 then '0' || a else a end a, s from tr left join sch on tr.k = 'code' and sch.id = tr.id and sch.pa = tr.pa where ty not in ('OBJECT', 'ARRAY', 'NULL') and regexp_matches(fk, '\."?(classification|main-classification-proc|additional-classification-proc)"?(\[\d+\]|\."?(code|main|additional)"?)*$')),
+ cd as (select id, fk, regexp_extract(a, '^\s*(\d{8})(?:-\d)?\s*$', 1) code from lf where coalesce(s, 'cpv') = 'cpv'),
+ wl as (select cd.id, cd.fk, code, arg_max(lot, length(lots.fk)) lot from cd left join lots on lots.id = cd.id and starts_with(cd.fk, lots.fk || '.') where code <> '' group by all),
+ c0 as (select notice_row_id id, all_cpv_codes_json::json j from ted_notices where json_valid(all_cpv_codes_json)),
+ c1 as (select c0.id, x.fullkey fk, x.path pa, x.key k, x.type ty, x.atom ->> '$' a from c0, json_tree(c0.j) x),
+ cs as (select id, pa, lower(trim(a)) s from c1 where k = 'scheme' and ty = 'VARCHAR'),
+ c2 as (select c1.id, regexp_extract(case when ty in ('UBIGINT', 'BIGINT') and length(a) = 7 then '0' || a else a end, '^\s*(\d{8})(?:-\d)?\s*$', 1) code, s from c1 left join cs on c1.k = 'code' and cs.id = c1.id and cs.pa = c1.pa where ty not in ('OBJECT', 'ARRAY', 'NULL') and regexp_matches(fk, '^\$(\[\d+\]|\."?(code|main|additional)"?)*$'))
+select distinct id notice_row_id, 'raw' origin, coalesce(lot, '') lot_ref, code cpv_code from wl union select id, 'codes', '', code from c2 where code <> '' and coalesce(s, 'cpv') = 'cpv'"""
 ORACLE = {
+    "p1_found": _NESTED,
     "p4_found": _TREE + "select n.f source_fingerprint, n.c code, coalesce(t.root, '') root_code, coalesce(t.depth, -1)::int depth from n left join t on n.f = t.f and n.c = t.c",
     "p4_paths": _TREE + "select f source_fingerprint, c code, path, depth::int depth, (select count(*) from t d where d.f = t.f and starts_with(d.path, t.path || '/')) n_descendants from t",
     "p4_descendants": _TREE + "select a.f source_fingerprint, a.c code, b.c descendant_code from t a join t b on a.f = b.f and starts_with(b.path, a.path || '/')",

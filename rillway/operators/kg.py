@@ -190,7 +190,9 @@ def quality(ents: DataFrame, rels: DataFrame, chunks: DataFrame) -> DataFrame:
     seen = ents.select("chunk_id").unionByName(rels.select("chunk_id")).distinct().agg(F.count("*").alias("seen"))
     total = chunks.agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
     docs = ents.agg(F.count_distinct("doc_id").alias("docs"))
-    d = degree.crossJoin(sizes).crossJoin(kinds).crossJoin(twice).crossJoin(seen).crossJoin(total).crossJoin(docs)  # one row each
+    d = degree
+    for one in (sizes, kinds, twice, seen, total, docs):  # aggregates of one row each
+        d = d.join(F.broadcast(one), F.lit(True))
     r = lambda c: F.round(c, 6)
     return d.select(
         "n_mentions", "n_relations", r(F.col("avg_degree")).alias("avg_degree"), r(F.col("isolated_rate")).alias("isolated_rate"), "components", r(F.col("largest") / F.col("n")).alias("largest_ratio"), r(F.log2("n_relations") - F.col("h") / F.col("n_relations")).alias("predicate_entropy"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from rillway.functions import cpv
-from rillway.functions.text import confidence, min_max, tokens
+from rillway.functions.text import confidence, min_max, rounded, tokens
 
 DIGITS = 6
 BEAMS = {2: 4, 4: 6, 6: 10}
@@ -366,8 +366,8 @@ def expand_pool(c: DataFrame, codes: DataFrame, queries: DataFrame, profile: Dat
     mixture of proximity and the overlap of query and label.
     """
     s = PROFILES[name]
-    base = c.withColumn("base", F.round(normal_score(c), DIGITS)).select("qid", "code", "rank", "base")
-    seed = base.where(F.col("rank") <= s["seeds"]).select("qid", "code", F.round(F.greatest(F.col("base"), 1 / F.col("rank")), DIGITS).alias("strength"))
+    base = c.withColumn("base", rounded(normal_score(c), DIGITS)).select("qid", "code", "rank", "base")
+    seed = base.where(F.col("rank") <= s["seeds"]).select("qid", "code", rounded(F.greatest(F.col("base"), 1 / F.col("rank")), DIGITS).alias("strength"))
     links = neighbours(codes, s["siblings"], s["children"])
     decay = lambda t: F.create_map(*[F.lit(x) for kv in t.items() for x in kv])[F.col("relation")]
     walk = seed
@@ -382,7 +382,7 @@ def expand_pool(c: DataFrame, codes: DataFrame, queries: DataFrame, profile: Dat
         nxt = front.join(F.broadcast(links), "code").select("qid", F.col("to").alias("code"), (F.col("p") * decay(STEP_DECAY) * STEP_LOSS**i).alias("p"), F.concat(F.lit("ppr_"), "relation").alias("relation"))
         front = nxt.groupBy("qid", "code").agg(F.max("p").alias("p"))
         reached = reached.unionByName(nxt)
-    best = reached.unionByName(seed.select("qid", "code", F.col("strength").alias("p"), F.lit("seed").alias("relation"))).groupBy("qid", "code").agg(F.round(F.max("p"), DIGITS).alias("proximity"), F.min_by("relation", F.struct(-F.round("p", DIGITS), "relation")).alias("relation"))
+    best = reached.unionByName(seed.select("qid", "code", F.col("strength").alias("p"), F.lit("seed").alias("relation"))).groupBy("qid", "code").agg(rounded(F.max("p"), DIGITS).alias("proximity"), F.min_by("relation", F.struct(-rounded(F.col("p"), DIGITS), "relation")).alias("relation"))
     d = base.select("qid", "code", "base").join(best, ["qid", "code"], "full").withColumn("is_base", F.col("base").isNotNull())
     extra = F.row_number().over(Window.partitionBy("qid", "is_base").orderBy(F.desc("proximity"), "code"))
     d = d.withColumn("r", extra).where(F.col("is_base") | (F.col("r") <= s["added"])).na.fill(0.0, ["base", "proximity"])
@@ -391,7 +391,7 @@ def expand_pool(c: DataFrame, codes: DataFrame, queries: DataFrame, profile: Dat
     lex = min_max(F.col("lex"), F.min("lex").over(w), F.max("lex").over(w))
     d = d.withColumn("raw", s["proximity"] * F.col("proximity") + (1 - s["proximity"]) * lex)
     graph = min_max(F.col("raw"), F.min("raw").over(w), F.max("raw").over(w))
-    return d.select("qid", "code", "base", "proximity", F.round(graph, DIGITS).alias("graph"), F.when(F.col("is_base"), "base").otherwise(F.col("relation")).alias("relation"))
+    return d.select("qid", "code", "base", "proximity", rounded(graph, DIGITS).alias("graph"), F.when(F.col("is_base"), "base").otherwise(F.col("relation")).alias("relation"))
 
 
 def pool_metrics(c: DataFrame, pool: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from rillway.functions.matching import name_form, stable_id, subset
 from rillway.operators.components import connected_components
 from rillway.operators.sections import sentences, strip
-from rillway.session import Scratch
+from rillway.session import Scratch, read_shared, shared_object
 
 _MONTH = r"[A-Za-zÄÖÜäöüß]+"
 #: Forms of entities in regulations, by type.
@@ -224,6 +224,126 @@ def faithfulness(predicate: Column, subject: Column, obj: Column, evidence: Colu
     return F.when(F.coalesce(evidence, F.lit("")) == "", 0.0).otherwise(n / 3)
 
 
+def _years_in(text: str) -> str:
+    return " ".join(sorted(set(re.findall(r"(?=(20\d{2}))", text))))
+
+
+class _Index:
+    """Relations, names and chunks of a graph as arrays; relations that differ by chunks alone are one kind with a count, as all scores of a kind are alike.
+
+    Read by each Python worker from the tables that the executors share; nothing of it goes through the driver.
+    """
+
+    def __init__(self, relations_at: str, names_at: str, chunks_at: str):
+        import numpy as np
+
+        c, r, n = read_shared(chunks_at).sort_values("chunk_id", ignore_index=True), read_shared(relations_at), read_shared(names_at)
+        self.chunk_ids, at = c["chunk_id"].to_numpy(), pd.Index(c["chunk_id"])
+        kind, classes = pd.factorize(pd.Series(list(zip(c["place"].map(_years_in), c["preamble"]))), sort=False)
+        self.chunk_class, self.classes = kind, list(classes)
+        r["chunk"], n["chunk"] = at.get_indexer(r["chunk_id"]), at.get_indexer(n["chunk_id"])
+        r, n = r[r["chunk"] >= 0], n[n["chunk"] >= 0]
+        codes, names = pd.factorize(pd.concat([r["subject_norm"], r["object_norm"], n["norm"]], ignore_index=True))
+        self.names, self.name_at = list(names), {x: i for i, x in enumerate(names)}
+        self.several = [(i, set(x.split(" "))) for i, x in enumerate(names) if " " in x]
+        pred, self.predicates = pd.factorize(r["predicate"])
+        s, o = codes[: len(r)], codes[len(r) : 2 * len(r)]
+        one = pd.DataFrame({"a": np.r_[s, o], "b": np.r_[o, s], "s": np.r_[s, s], "o": np.r_[o, o], "p": np.r_[pred, pred], "r": np.tile(r["stated"].to_numpy(), 2), "c": np.tile(kind[r["chunk"]], 2), "chunk": np.tile(r["chunk"].to_numpy(), 2)})
+        by = ["a", "b", "s", "o", "p", "r", "c"]
+        k = one.groupby(by, sort=True).size().rename("n").reset_index()
+        one = one.merge(k.reset_index(names="kind")[[*by, "kind"]], on=by)[["chunk", "kind"]].drop_duplicates().sort_values(["chunk", "kind"])
+        for x in (*by, "n"):
+            setattr(self, "k_" + x, k[x].to_numpy())
+        self.at_a = np.searchsorted(self.k_a, np.arange(len(names) + 1))
+        self.held, self.holder, self.holds = one["kind"].to_numpy(), *np.unique(one["chunk"], return_index=True)
+        m = pd.DataFrame({"chunk": n["chunk"].to_numpy(), "name": codes[2 * len(r) :]}).drop_duplicates().sort_values(["chunk", "name"])
+        self.named, self.namer, self.names_of = m["name"].to_numpy(), *np.unique(m["chunk"], return_index=True)
+
+    def quality(self, question: str):
+        """chunk_quality() of each class of chunks."""
+        import numpy as np
+
+        years = set(re.findall(r"\b20\d{2}\b", question, re.A))
+        asked = re.search(PREAMBLE_WORDS, question.lower())
+        return np.array([(0.25 if years and not years & set(ys.split()) else 1.0) * (0.2 if pre and not asked else 1.0) for ys, pre in self.classes])
+
+    def answered(self, question: str):
+        """Of each kind intent_score() and whether the question has a cue of its predicate."""
+        import numpy as np
+
+        words = set(question.split(" "))
+        has = lambda x: x != "" and (x in question or words.issuperset(x.split(" ")))
+        known = np.array([x != "" and x in question for x in self.names], dtype=bool)
+        for i, ws in self.several:
+            known[i] |= ws <= words
+        hits = np.array([sum(map(has, CUES.get(p, "\x01").split("|"))) for p in self.predicates])
+        group = np.array([any(x in question for x in INTENTS.get(p, "\x01").split("|")) for p in self.predicates], dtype=bool)
+        s = np.minimum(0.55, hits * 0.18)[self.k_p] + np.where(known[self.k_s], 0.16, 0.0) + np.where(known[self.k_o], 0.16, 0.0)
+        return np.minimum(1.0, s + np.where(group[self.k_p] | self.k_r, 0.28, 0.0)), (hits > 0)[self.k_p]
+
+
+def _spread_scores(ix: _Index, qn: str, question: str, seeds: dict, algorithm: str, rounds: int, damping: float):
+    """(found, g, i) of each chunk: whether the graph leads to it, its best score and best intent."""
+    import numpy as np
+
+    n = len(ix.names)
+    quality, (intent, cued) = ix.quality(question), ix.answered(qn)
+    k_quality = quality[ix.k_c]
+    weight = lambda other: np.array([WEIGHTS.get(p, other) for p in ix.predicates])[ix.k_p]
+    best = np.full(len(ix.k_a), -np.inf)  # of each kind
+    seed = np.full(n, np.nan)  # nan: not in the front
+    for x, v in seeds.items():
+        if x in ix.name_at:
+            seed[ix.name_at[x]] = v
+
+    def step(front):
+        """The kinds that start at the front."""
+        at = np.flatnonzero(~np.isnan(front))
+        if 2 * len(at) > n:
+            return np.flatnonzero(~np.isnan(front)[ix.k_a])
+        return np.concatenate([np.arange(ix.at_a[j], ix.at_a[j + 1]) for j in at]) if len(at) else np.zeros(0, dtype=int)
+
+    def hit(k, c):
+        best[k] = np.maximum(best[k], c)
+
+    active = seed
+    if algorithm != "direct" and rounds:
+        start = seed / sum(seeds.values()) if seeds else seed
+        now, w0 = start, weight(OTHER_WEIGHT) * k_quality * (1 + 0.12 * intent)
+        for _ in range(rounds):
+            k = step(now)
+            k = k[k_quality[k] >= 0.5]
+            total = np.bincount(ix.k_a[k], w0[k] * ix.k_n[k], n)
+            c = damping * now[ix.k_a[k]] * w0[k] / total[ix.k_a[k]]
+            hit(k, c)
+            flow, met = np.bincount(ix.k_b[k], c * ix.k_n[k], n), np.bincount(ix.k_b[k], minlength=n) > 0
+            now = np.where(met | ~np.isnan(start), (1 - damping) * np.nan_to_num(start) + flow, np.nan)
+        active = np.fmax(active, now)
+    if algorithm != "ppr":
+        front, w1 = seed, weight(0.72)
+        for depth in (1, 2):
+            k = step(front)
+            c = (front[ix.k_a[k]] * 0.55**depth * w1[k] + np.where(cued[k], 0.12, 0.0)) * k_quality[k]
+            hit(k, c)
+            top = np.full(n, -np.inf)
+            np.maximum.at(top, ix.k_b[k], c)
+            front = np.where(np.isfinite(top) & (np.isnan(active) | (top > active)), top, np.nan)
+            active = np.fmax(active, front)
+    k = step(active)
+    hit(k, (active[ix.k_a[k]] + np.where(cued[k], 0.15, 0.0)) * k_quality[k])
+    g = np.full(len(ix.chunk_ids), -np.inf)
+    i = g.copy()
+    if len(ix.held):
+        g[ix.holder] = np.maximum.reduceat(best[ix.held], ix.holds)
+        i[ix.holder] = np.maximum.reduceat(np.where(np.isfinite(best), intent, -np.inf)[ix.held], ix.holds)
+    if len(ix.named):
+        s = np.maximum.reduceat(np.where(np.isnan(active), -np.inf, active)[ix.named], ix.names_of)
+        lone = np.full(len(g), -np.inf)
+        lone[ix.namer] = s * 0.7 * quality[ix.chunk_class[ix.namer]]
+        g, i = np.maximum(g, lone), np.where(np.isfinite(lone), np.maximum(i, 0.0), i)
+    return np.isfinite(g), g, i, quality[ix.chunk_class]
+
+
 def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFrame, rels: DataFrame, chunks: DataFrame, profile: str = "balanced", graph_weight: float = 0.35, k: int = 8, seeds: int = 20) -> DataFrame:
     """(qid, chunk_id, rank, score, base, graph, intent, source): the k retrieved chunks, then chunks that only the graph leads to.
 
@@ -231,6 +351,9 @@ def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFr
     strength and name. Along relations, both ways, scores spread by restarted propagation, by two hops, or both, as the profile
     says; a chunk counts the best score of a relation or entity in it. Both sides are scaled by their maximum and mixed;
     added chunks must pass the profile's quality and a floor.
+
+    Names as frequent as 'bis' lead from every question to most relations, so pairs of questions and relations aren't made rows:
+    each question is worked out over the arrays of _Index, and only its result leaves the Python worker.
     """
     algorithm, added, least, rounds, damping, by_intent = PROFILES[profile]
     scratch = Scratch(questions.sparkSession)
@@ -241,63 +364,49 @@ def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFr
     in_q = q.select("qid", "qn", F.explode(F.array_distinct(F.split("qn", " "))).alias("w")).join(firsts, "w").where(contains(F.col("qn"), F.col("norm"))).select("qid", "norm", F.lit(1.0).alias("s"))
     in_r = retrieved.select("qid", "chunk_id").join(ents.where("entity_type <> 'Section' and length(norm) >= 3").select("chunk_id", "norm").distinct(), "chunk_id").select("qid", "norm", F.lit(0.65).alias("s"))
     seed = in_q.unionByName(in_r).groupBy("qid", "norm").agg(F.max("s").alias("s"))
-    seed = seed.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "norm"))).where(f"r <= {seeds}").select("qid", "norm", "s")
-    seed = scratch.cut(seed)
-    two = rels.select("chunk_id", "predicate", "subject_norm", "object_norm", "evidence", F.col("subject_norm").alias("a"), F.col("object_norm").alias("b"))
-    two = two.unionByName(two.select("chunk_id", "predicate", "subject_norm", "object_norm", "evidence", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> '' and b <> ''")
-    two = scratch.cut(two.join(chunks.select("chunk_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), "section_id"), "chunk_id"))
+    seed = seed.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "norm"))).where(f"r <= {seeds}").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("norm", "s"))).alias("seeds"))
+    group = F.split(_lookup(INTENTS, F.col("predicate"), "\x01"), r"\|")
+    text = F.concat_ws(" ", "subject_norm", "predicate", "object_norm", F.lower("evidence"))
+    tables = (
+        rels.where("subject_norm <> '' and object_norm <> ''").select("chunk_id", "predicate", "subject_norm", "object_norm", F.exists(group, lambda c: F.contains(text, c)).alias("stated")), ents.where("norm is not null").select("chunk_id", "norm").distinct(),
+        chunks.select("chunk_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), F.coalesce(F.lower("section_id") == "preamble", F.lit(False)).alias("preamble")),
+    )
+    paths = tuple(scratch.path(scratch.cut(t)) for t in tables)
+    base = retrieved.select("qid", F.struct("chunk_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank")).alias("x")).groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("base"))
+    floor = max(least * 0.10, 0.08 if graph_weight <= 0.4 else 0.05)
 
-    def step(front: DataFrame) -> DataFrame:
-        d = front.join(two.withColumnRenamed("a", "norm"), "norm").join(F.broadcast(q), "qid")
-        return d.withColumn("quality", chunk_quality(F.col("question"), F.col("place"), F.col("section_id"))).withColumn("intent", intent_score(F.col("qn"), F.col("predicate"), F.col("subject_norm"), F.col("object_norm"), F.lower("evidence")))
+    def work(batches):
+        import numpy as np
 
-    active, hits = seed, None
-    if algorithm != "direct" and rounds:
-        total = seed.groupBy("qid").agg(F.sum("s").alias("t"))
-        start = seed.join(total, "qid").select("qid", "norm", (F.col("s") / F.col("t")).alias("s0"))
-        now = start.select("qid", "norm", F.col("s0").alias("s"))
-        for _ in range(rounds):
-            e = step(now).where("quality >= 0.5").withColumn("w", _lookup(WEIGHTS, F.col("predicate"), OTHER_WEIGHT) * F.col("quality") * (1 + 0.12 * F.col("intent")))
-            share = F.sum("w").over(Window.partitionBy("qid", "norm"))
-            e = e.withColumn("c", F.lit(damping) * F.col("s") * F.col("w") / share)
-            h = e.groupBy("qid", "chunk_id").agg(F.max("c").alias("g"), F.max("intent").alias("i"))
-            hits = h if hits is None else hits.unionByName(h)
-            flow = e.groupBy("qid", F.col("b").alias("norm")).agg(F.sum("c").alias("f"))
-            now = scratch.cut(flow.join(start, ["qid", "norm"], "full").select("qid", "norm", ((1 - damping) * F.coalesce("s0", F.lit(0.0)) + F.coalesce("f", F.lit(0.0))).alias("s")))
-        active = active.unionByName(now).groupBy("qid", "norm").agg(F.max("s").alias("s"))
-    if algorithm != "ppr":
-        front = seed
-        for depth in (1, 2):
-            e = step(front)
-            cue = F.when(F.exists(F.split(_lookup(CUES, F.col("predicate"), "\x01"), r"\|"), lambda c: contains(F.col("qn"), c)), 0.12).otherwise(0.0)
-            e = e.withColumn("c", (F.col("s") * 0.55**depth * _lookup(WEIGHTS, F.col("predicate"), 0.72) + cue) * F.col("quality"))
-            h = e.groupBy("qid", "chunk_id").agg(F.max("c").alias("g"), F.max("intent").alias("i"))
-            hits = h if hits is None else hits.unionByName(h)
-            front = scratch.cut(e.groupBy("qid", F.col("b").alias("norm")).agg(F.max("c").alias("s")).join(active.withColumnRenamed("s", "old"), ["qid", "norm"], "left").where("old is null or s > old").select("qid", "norm", "s"))
-            active = active.unionByName(front).groupBy("qid", "norm").agg(F.max("s").alias("s"))
-    # chunks that name an active entity, in a relation or by itself
-    active = scratch.cut(active)
-    e = step(active)
-    cue = F.when(F.exists(F.split(_lookup(CUES, F.col("predicate"), "\x01"), r"\|"), lambda c: contains(F.col("qn"), c)), 0.15).otherwise(0.0)
-    direct = e.withColumn("c", (F.col("s") + cue) * F.col("quality")).groupBy("qid", "chunk_id").agg(F.max("c").alias("g"), F.max("intent").alias("i"))
-    place = chunks.select("chunk_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), "section_id")
-    lone = active.join(ents.select("chunk_id", "norm").distinct(), "norm").groupBy("qid", "chunk_id").agg(F.max("s").alias("s")).join(place, "chunk_id").join(F.broadcast(q), "qid")
-    lone = lone.select("qid", "chunk_id", (F.col("s") * 0.7 * chunk_quality(F.col("question"), F.col("place"), F.col("section_id"))).alias("g"), F.lit(0.0).alias("i"))
-    every = direct.unionByName(lone)
-    every = every if hits is None else every.unionByName(hits)
-    g = every.groupBy("qid", "chunk_id").agg(F.max("g").alias("g"), F.max("i").alias("i"))
-    base = retrieved.select("qid", "chunk_id", F.col("score").alias("b"), "rank")
-    w = Window.partitionBy("qid")
-    scaled = lambda c: F.when(F.max(c).over(w) > 0, F.coalesce(F.col(c), F.lit(0.0)) / F.max(c).over(w)).otherwise(0.0)
-    f = base.join(g, ["qid", "chunk_id"], "full").join(place, "chunk_id").join(F.broadcast(q), "qid")
-    f = f.withColumn("quality", chunk_quality(F.col("question"), F.col("place"), F.col("section_id"))).withColumn("base", F.round(scaled("b"), 6)).withColumn("graph", F.round(scaled("g"), 6)).withColumn("intent", F.round(scaled("i"), 6))
-    f = f.withColumn("score", F.round((1 - graph_weight) * F.col("base") + graph_weight * ((1 - by_intent) * F.col("graph") + by_intent * F.col("intent")), 6)).withColumn("is_base", F.col("rank").isNotNull())
-    floor = max(least * 0.10, 0.08 if graph_weight <= 0.4 else 0.05)
-    new = F.row_number().over(Window.partitionBy("qid", "is_base").orderBy(F.when(F.col("is_base"), F.col("rank")).otherwise(0), F.desc("score"), "chunk_id"))
-    f = f.where(f"(is_base and rank <= {k}) or (not is_base and quality >= 0.5 and quality >= {least} and graph >= {floor})").withColumn("n", new).where(f"is_base or n <= {added}")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("is_base"), "n"))
-    source = F.when(F.col("is_base") & F.col("g").isNotNull(), "vector+graph").when(F.col("is_base"), "vector").otherwise("graph")
-    return f.select("qid", "chunk_id", rank.alias("rank"), "score", "base", "graph", "intent", source.alias("source"))
+        ix, up = shared_object(_Index, *paths), lambda x: np.floor(x * 1e6 + 0.5) / 1e6
+        for batch in batches:
+            rows = []
+            for qid, qn, question, seed, base in zip(batch["qid"], batch["qn"], batch["question"], batch["seeds"], batch["base"]):
+                found, g, i, quality = _spread_scores(ix, qn, question, {x["norm"]: x["s"] for x in (seed if seed is not None else ())}, algorithm, rounds, damping)
+                own = {x["chunk_id"]: x for x in (base if base is not None else ())}
+                where = {c: j for c in own if (j := np.searchsorted(ix.chunk_ids, c)) < len(ix.chunk_ids) and ix.chunk_ids[j] == c}
+                high = max([x["score"] for c, x in own.items() if c in where and x["score"] is not None], default=0)
+                b = np.zeros(len(g))
+                for c, j in where.items():
+                    b[j] = up((own[c]["score"] or 0.0) / high) if high > 0 else 0.0
+                scaled = lambda x: up(np.where(found, x, 0.0) / x[found].max()) if found.any() and x[found].max() > 0 else np.zeros(len(x))
+                graph, intent = scaled(g), scaled(i)
+                score = up((1 - graph_weight) * b + graph_weight * ((1 - by_intent) * graph + by_intent * intent))
+                new = found & (quality >= max(0.5, least)) & (graph >= floor)
+                new[list(where.values())] = False
+                at = np.flatnonzero(new)
+                if len(at) > added:  # all that may be among the best, then in order
+                    at = at[score[at] >= np.partition(score[at], -added)[-added]]
+                at = at[np.lexsort((at, -score[at]))][:added]
+                first = sorted((c for c in where if own[c]["rank"] <= k), key=lambda c: (own[c]["rank"], -score[where[c]], where[c]))
+                out = [(where[c], "vector+graph" if found[where[c]] else "vector") for c in first] + [(j, "graph") for j in at]
+                rows += [(qid, ix.chunk_ids[j], n, score[j], b[j], graph[j], intent[j], source) for n, (j, source) in enumerate(out, 1)]
+            yield pd.DataFrame(rows, columns=["qid", "chunk_id", "rank", "score", "base", "graph", "intent", "source"])
+
+    d = q.join(seed, "qid", "left").join(base, "qid", "left").where("seeds is not null or base is not null")
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    d = d.repartition(4 * d.sparkSession.sparkContext.defaultParallelism, "qid")
+    return d.mapInPandas(work, f"qid {kind(questions, 'qid')}, chunk_id {kind(chunks, 'chunk_id')}, rank int, score double, base double, graph double, intent double, source string")
 
 
 def triple_hits(triples: DataFrame, context: DataFrame, rels: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,10 @@ bonus to the score and ranks anew. Ties go to the smaller code. Profiles hold th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -196,20 +198,67 @@ def hard_negatives(queries: DataFrame, profile: DataFrame, most: int = NEGATIVES
     A code is confusing by .6 overlap with the query, .25 with the gold code's text and .15 common digits. Buckets in order:
     branch, siblings, class, group, division, all; the middle ones are first thinned to eight in the order of a hash. Three of
     each bucket are taken, the most confusing first, until there are enough. The weight grows with nearness to the gold code.
+
+    Every query is set against all codes of the catalogue, which is small and fixed, by counting words in arrays of its own batch;
+    pairs of queries and codes aren't rows.
     """
-    codes = profile.select(F.col("code").alias("negative"), F.col("parent").alias("n_parent"), F.col("t_canonical").alias("n_text"))  # the catalogue, small and fixed
-    g = queries.join(profile.select(F.col("code").alias("gold"), F.col("parent").alias("g_parent"), F.col("t_canonical").alias("g_text")), "gold")
-    p = g.join(F.broadcast(codes), F.col("gold") != F.col("negative"))
-    lv = cpv.level(F.col("gold"), F.col("negative"))
-    conf = F.round(0.60 * overlap(F.col("q"), F.col("n_text")) + 0.25 * overlap(F.col("g_text"), F.col("n_text")) + 0.15 * lv / 8.0, DIGITS)
-    sib = F.coalesce(F.col("g_parent") == F.col("n_parent"), F.lit(False))
-    kinds = F.array_compact(F.array(F.when(sib | (lv >= 4), 0), F.when(sib, 1), F.when(lv >= 6, 2), F.when(lv == 4, 3), F.when(lv == 2, 4), F.lit(5)))
-    p = p.select("qid", "gold", "negative", conf.alias("conf"), F.when(sib, 4.5).when(lv >= 6, 4.0).when(lv >= 4, 3.0).when(lv >= 2, 2.0).otherwise(1.0).alias("weight"), F.md5(F.concat_ws("|", F.col("qid").cast("string"), "negative")).alias("h"), F.explode(kinds).alias("bucket"))
-    mixed = F.col("bucket").between(1, 4)
-    p = p.withColumn("draw", F.row_number().over(Window.partitionBy("qid", "bucket").orderBy("h", "negative"))).where(~mixed | (F.col("draw") <= BUCKET_SIZE))
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy("qid", "bucket").orderBy(F.desc("conf"), "negative"))).where(F.col("r") <= PER_BUCKET)
-    one = p.groupBy("qid", "gold", "negative", "weight").agg(F.min(F.struct("bucket", "r")).alias("place"))
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("place", "negative"))).where(F.col("n") <= most).select("qid", "gold", "negative", "weight")
+    cat = sorted((r["code"], r["parent"], r["t_canonical"]) for r in profile.select("code", "parent", "t_canonical").collect())
+    codes = [c for c, _, _ in cat]
+    place = {c: i for i, c in enumerate(codes)}
+    vocabulary = sorted({t for _, _, ts in cat for t in ts})
+    col = {t: i for i, t in enumerate(vocabulary)}
+    has = np.zeros((len(vocabulary) + 1, len(codes)), dtype=np.int16)  # the last row: words that no code has
+    for i, (_, _, ts) in enumerate(cat):
+        has[[col[t] for t in ts], i] = 1
+    sizes = has.sum(0)
+    level = lambda a, b: 8 if a == b else next((w for w in (6, 4, 2) if a[:w] == b[:w]), 0)
+    lv = np.array([[level(a, b) for b in codes] for a in codes])
+    sib = np.array([[p is not None and p == o for _, o, _ in cat] for _, p, _ in cat])
+    near = 0.25 * (has.T.astype(float) @ has) / np.maximum(sizes, 1)[:, None]
+    fixed = near + 0.15 * lv / 8.0
+    weight = np.where(sib, 4.5, np.select([lv >= 6, lv >= 4, lv >= 2], [4.0, 3.0, 2.0], 1.0))
+    other = ~np.eye(len(codes), dtype=bool)
+    kinds = [[np.flatnonzero(k[g] & other[g]) for k in (sib | (lv >= 4), sib, lv >= 6, lv == 4, lv == 2)] for g in range(len(codes))]
+
+    def choose(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, known = pa.array(vocabulary, pa.string()), pa.array(codes, pa.string())
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                n, q = b.num_rows, b.column("q")
+                size = pc.fill_null(pc.list_value_length(q), 0).to_numpy(zero_copy_only=False)
+                at = pc.fill_null(pc.index_in(q.flatten(), value_set=words), len(vocabulary)).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), size)[at < len(vocabulary)]
+                at = at[at < len(vocabulary)]
+                common = np.zeros((n, len(codes)))
+                if len(at):
+                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    common[row[first]] = np.add.reduceat(has[at], first, axis=0)
+                gold = pc.fill_null(pc.index_in(b.column("gold"), value_set=known), -1).to_numpy(zero_copy_only=False)
+                conf = np.floor((0.60 * (common / np.maximum(size, 1)[:, None]) + fixed[gold]) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+                conf[np.arange(n), gold] = -np.inf
+                best = np.argsort(-conf, axis=1, kind="stable")[:, :PER_BUCKET]
+                qids, out = b.column("qid").to_pylist(), []
+                for i, g in enumerate(gold):
+                    if g < 0:
+                        continue
+                    taken: dict[int, None] = {}
+                    for bucket, of in enumerate([*kinds[g], None]):
+                        if len(taken) >= most:
+                            break
+                        if of is None:
+                            of = [j for j in best[i] if j != g]
+                        elif len(of) > BUCKET_SIZE and bucket > 0:
+                            of = sorted(of, key=lambda j: (hashlib.md5(f"{qids[i]}|{codes[j]}".encode()).hexdigest(), codes[j]))[:BUCKET_SIZE]
+                        taken.update(dict.fromkeys(sorted(of, key=lambda j: (-conf[i, j], j))[:PER_BUCKET]))
+                    out += [(i, g, j) for j in list(taken)[:most]]
+                r, g, j = np.array(out, dtype=int).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(r)), known.take(pa.array(g)), known.take(pa.array(j)), pa.array(weight[g, j], pa.float64())], names=["qid", "gold", "negative", "weight"])
+
+    return queries.select("qid", "gold", "q").mapInArrow(choose, f"qid {queries.schema['qid'].dataType.simpleString()}, gold string, negative string, weight double")
 
 
 def fit_label_scorer(pairs: DataFrame, c: float = 1.0):

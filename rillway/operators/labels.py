@@ -28,6 +28,20 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
+#: Overlaps that the reranking steps read: of a token set of the query and one of the code.
+STEP_OVERLAPS = (("q", "canonical"), ("t_object", "canonical"), ("q", "example"), ("t_object", "example"), ("t_action", "canonical"), ("q", "siblings"), ("q", "children"))
+
+
+def overlap_columns() -> list[Column]:
+    """The overlaps of the steps as numbers, in place of the token sets."""
+    return [overlap(F.col(a), F.col("t_" + b)).alias(f"o_{a}_{b}") for a, b in STEP_OVERLAPS]
+
+
+def overlap_in(c: DataFrame, a: str, b: str) -> Column:
+    """An overlap of candidates: the number where they have it, else from the token sets."""
+    return F.col(f"o_{a}_{b}") if f"o_{a}_{b}" in c.columns else overlap(F.col(a), F.col("t_" + b))
+
+
 def ranked(c: DataFrame, *then: Column) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("score"), *then, "code")
     return c.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(w))
@@ -101,8 +115,8 @@ def zero_shot(c: DataFrame, head: int = 80) -> DataFrame:
 
 
 def canonical_rerank(c: DataFrame) -> DataFrame:
-    o, e = F.greatest(overlap(F.col("q"), F.col("t_canonical")), overlap(F.col("t_object"), F.col("t_canonical"))), F.greatest(overlap(F.col("q"), F.col("t_example")), overlap(F.col("t_object"), F.col("t_example")))
-    return bonus(c, 0.18 * o + 0.06 * overlap(F.col("t_action"), F.col("t_canonical")) + 0.05 * normal_score(c) + F.when(o >= e, 0.04).otherwise(0.0))
+    o, e = F.greatest(overlap_in(c, "q", "canonical"), overlap_in(c, "t_object", "canonical")), F.greatest(overlap_in(c, "q", "example"), overlap_in(c, "t_object", "example"))
+    return bonus(c, 0.18 * o + 0.06 * overlap_in(c, "t_action", "canonical") + 0.05 * normal_score(c) + F.when(o >= e, 0.04).otherwise(0.0))
 
 
 def dominant_branch(c: DataFrame, widths: tuple[int, ...] = (6, 4), head: int = 8) -> DataFrame:
@@ -121,14 +135,14 @@ def dominant_branch(c: DataFrame, widths: tuple[int, ...] = (6, 4), head: int =
 def branch_selector(c: DataFrame) -> DataFrame:
     """Bonus for codes of the dominant branch, more where object or siblings fit, less for a broad code whose children fit."""
     d = c.join(dominant_branch(c), "qid", "left")
-    inside = F.when(F.length("branch") >= 6, 0.12).otherwise(0.08) + F.when(overlap(F.col("t_object"), F.col("t_canonical")) >= 0.18, 0.05).otherwise(0.0)
-    inside += F.when(overlap(F.col("q"), F.col("t_siblings")) > 0.08, 0.03).otherwise(0.0) - F.when((F.col("code_level") < 8) & (overlap(F.col("q"), F.col("t_children")) > 0.10), 0.04).otherwise(0.0)
+    inside = F.when(F.length("branch") >= 6, 0.12).otherwise(0.08) + F.when(overlap_in(c, "t_object", "canonical") >= 0.18, 0.05).otherwise(0.0)
+    inside += F.when(overlap_in(c, "q", "siblings") > 0.08, 0.03).otherwise(0.0) - F.when((F.col("code_level") < 8) & (overlap_in(c, "q", "children") > 0.10), 0.04).otherwise(0.0)
     return bonus(d, F.when(F.startswith("code", F.col("branch")), inside).otherwise(0.0))
 
 
 def specificity(c: DataFrame) -> DataFrame:
     """A specific code gets .09 if it fits as well as its parent in the ranking; a broad one loses .10 if a child in the ranking fits as well."""
-    c = c.withColumn("fit", F.round(F.greatest(overlap(F.col("q"), F.col("t_canonical")), overlap(F.col("t_object"), F.col("t_canonical"))), DIGITS))
+    c = c.withColumn("fit", F.round(F.greatest(overlap_in(c, "q", "canonical"), overlap_in(c, "t_object", "canonical")), DIGITS))
     up = c.select("qid", F.col("code").alias("parent"), F.col("fit").alias("parent_fit"))
     down = c.where("parent is not null").groupBy("qid", F.col("parent").alias("code")).agg(F.max("fit").alias("child_fit"))
     d = c.join(up, ["qid", "parent"], "left").join(down, ["qid", "code"], "left")

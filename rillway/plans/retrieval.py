@@ -69,13 +69,20 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_top_k(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, K).select("qid", F.col("key").alias("vec_id"), "score", "rank")
 
 
+def _channels(spark, d):
+    """The heads of both rankings, each cut: what is fused is small, and the driver plans and runs one ranking at a time."""
+    scratch = Scratch(spark)
+    return tuple(scratch.cut(R.top_k(s, "qid", "doc_id", DEPTH).select("qid", "doc_id", "score")) for s in (_tfidf(spark, d), _bm25(spark, d)))
+
+
 def hybrid_alpha_topk(spark: SparkSession, d: str) -> DataFrame:
-    both = R.fuse_alpha(R.top_k(_tfidf(spark, d), "qid", "doc_id", DEPTH), R.top_k(_bm25(spark, d), "qid", "doc_id", DEPTH), "qid", "doc_id", 0.6)
+    both = R.fuse_alpha(*_channels(spark, d), "qid", "doc_id", 0.6)
     return R.top_k(both, "qid", "doc_id", K).select("qid", "doc_id", "score", "rank")
 
 
 def rrf_fusion_topk(spark: SparkSession, d: str) -> DataFrame:
-    both = R.fuse_rrf([("tfidf", 1.0, _tfidf(spark, d)), ("bm25", 0.8, _bm25(spark, d))], "qid", "doc_id", DEPTH)
+    first, second = _channels(spark, d)
+    both = R.fuse_rrf([("tfidf", 1.0, first), ("bm25", 0.8, second)], "qid", "doc_id", DEPTH)
     return R.top_k(both, "qid", "doc_id", K).select("qid", "doc_id", "score", "n_channels", "rank")
 
 

@@ -27,7 +27,7 @@ def kg_structure(spark: SparkSession, d: str) -> DataFrame:
 def _graph(spark, d):
     s = Scratch(spark)
     c = s.cut(_chunks(spark, d))
-    e = s.cut(K.entities(c))
+    e = s.cut(K.entities(c).drop("start_word"))  # which nothing here reads, and which needs the whole text beside every entity
     return c, e, s.cut(K.relations(e))
 
 

@@ -7,6 +7,7 @@ walks the graph is a join, many questions at once.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -78,6 +79,8 @@ ALIASES = {
 GENERIC = ("contains", "part_of", "applies_to", "stands_in")
 PREAMBLE_WORDS = "preamble|präambel|inkraft|in kraft|änderung|aenderung|auslauf|veröffentlicht|verkuendet|verkündet|datum"
 ENTITY = "chunk_id string, sentence_id string, sentence string, name string, entity_type string, start_char int, end_char int"
+#: What a text must hold, in plain form, if a form of an entity is in it; forms that aren't here are looked for in every text.
+NEEDED = {"Section": "§", "Semester": "semester", "Requirement": "ects|lp|leistungspunkt|b2|dsh|note", "Module": "-", "Degree": "of|.a.|m.sc.", "Language": "englisch|deutsch", "RepeatLimit": "wiederhol|prüfungsanspruch"}
 _WITH_ECTS = re.compile(r"([A-ZÄÖÜ][A-Za-zÄÖÜäöüß&/ -]{4,80}?)\s*\((\d+(?:[.,]\d+)?\s*(?:ECTS|LP|Leistungspunkte?))", re.I)
 
 
@@ -90,24 +93,34 @@ def contains(text: Column, phrase: Column) -> Column:
     return (phrase != "") & (F.contains(text, phrase) | subset(F.split(phrase, " "), F.split(text, " ")))
 
 
-def mentions(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """Entities of the chunks' sentences with their places in the chunk: the section, forms, terms, and modules with their points.
+def _plain(text: str) -> str:
+    """A text such that re.IGNORECASE finds a phrase of _PLAIN letters in it just where this form has the phrase's form."""
+    return text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
 
-    extra holds further terms by type, such as those of gold triples; terms of less than three letters are passed over.
-    """
-    forms = [(t, re.compile(p, f)) for t, (p, f) in PATTERNS.items()]
+
+_PLAIN = re.compile(r"[a-zA-Z0-9ÄÖÜäöüß &.,/-]+")
+
+
+@lru_cache(4096)
+def _any_of(terms: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, terms)), re.I)
+
+
+def finder(extra: dict[str, list[str]] | None = None):
+    """What mentions() does with batches of sentences."""
+    forms = [(t, re.compile(p, f), NEEDED.get(t, "").split("|")) for t, (p, f) in PATTERNS.items()]
     terms = {**{t: x.split("|") for t, x in TERMS.items()}}
     for t, more in (extra or {}).items():
         terms[t] = terms.get(t, []) + [x.strip() for x in more if len(x.strip()) >= 3]
-    forms += [(t, re.compile("|".join(sorted(map(re.escape, ts), key=lambda x: (-len(x), x))), re.I)) for t, ts in terms.items()]
-    shorter = [(t, re.compile(re.escape(a), re.I)) for t, ts in terms.items() for a in ts if any(a.lower() in b.lower() and a != b for b in ts)]
-    sents = chunks.select("chunk_id", "section_id", F.posexplode(sentences(F.col("text"))).alias("no", "s")).select("chunk_id", "section_id", F.concat_ws("|", "chunk_id", F.concat(F.lit("s"), "no")).alias("sentence_id"), F.col("s.text").alias("sentence"), F.col("s.start").alias("at"))
+    seek = lambda ts: [(a, _plain(a) if _PLAIN.fullmatch(a) else "") for a in ts]
+    listed = [(t, seek(sorted(ts, key=lambda x: (-len(re.escape(x)), re.escape(x))))) for t, ts in terms.items()]
+    shorter = [(t, seek([a for a in ts if any(a.lower() in b.lower() and a != b for b in ts)])) for t, ts in terms.items()]
 
     def find(batches):
         for b in batches:
             rows = []
             for cid, sec, sid, s, at in zip(b["chunk_id"], b["section_id"], b["sentence_id"], b["sentence"], b["at"]):
-                seen = set()
+                seen, low = set(), _plain(s)
 
                 def add(name, kind, i, j, cid=cid, sid=sid, s=s, at=at, seen=seen):
                     name = re.sub(r"\s+", " ", name).strip(" ,.;:()[]")
@@ -117,16 +130,29 @@ def mentions(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> Da
 
                 if sec:
                     add(sec, "Section", 0, 0)
-                for kind, p in [*forms, *shorter]:
+                # only what can be there is looked for: trying all terms at every letter took most of the time
+                ps = [(t, p) for t, p, need in forms if any(x in low for x in need)]
+                ps += [(t, _any_of(here)) for t, ts in listed if (here := tuple([a for a, x in ts if x in low]))]
+                ps += [(t, _any_of((a,))) for t, ts in shorter for a, x in ts if x in low]
+                for kind, p in ps:
                     for m in p.finditer(s):
                         add(m[0], kind, m.start(), m.end())
-                for m in _WITH_ECTS.finditer(s):
+                for m in _WITH_ECTS.finditer(s) if "(" in s else ():
                     add(m[1], "Module", m.start(1), m.end(1))
                     add(m[2], "Requirement", m.start(2), m.end(2))
             yield pd.DataFrame(rows, columns=["chunk_id", "sentence_id", "sentence", "name", "entity_type", "start_char", "end_char"])
 
+    return find
+
+
+def mentions(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """Entities of the chunks' sentences with their places in the chunk: the section, forms, terms, and modules with their points.
+
+    extra holds further terms by type, such as those of gold triples; terms of less than three letters are passed over.
+    """
+    sents = chunks.select("chunk_id", "section_id", F.posexplode(sentences(F.col("text"))).alias("no", "s")).select("chunk_id", "section_id", F.concat_ws("|", "chunk_id", F.concat(F.lit("s"), "no")).alias("sentence_id"), F.col("s.text").alias("sentence"), F.col("s.start").alias("at"))
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return sents.mapInPandas(find, ENTITY.replace("chunk_id string", f"chunk_id {kind}"))
+    return sents.mapInPandas(finder(extra), ENTITY.replace("chunk_id string", f"chunk_id {kind}"))
 
 
 def entities(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:

@@ -106,7 +106,7 @@ def _any_of(terms: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(map(re.escape, terms)), re.I)
 
 
-def finder(extra: dict[str, list[str]] | None = None):
+def finder(extra: dict[str, list[str]] | None = None, lean: bool = False):
     """What mentions() does with batches of sentences."""
     forms = [(t, re.compile(p, f), NEEDED.get(t, "").split("|")) for t, (p, f) in PATTERNS.items()]
     terms = {**{t: x.split("|") for t, x in TERMS.items()}}
@@ -116,48 +116,51 @@ def finder(extra: dict[str, list[str]] | None = None):
     listed = [(t, seek(sorted(ts, key=lambda x: (-len(re.escape(x)), re.escape(x))))) for t, ts in terms.items()]
     shorter = [(t, seek([a for a in ts if any(a.lower() in b.lower() and a != b for b in ts)])) for t, ts in terms.items()]
 
+    def search(s):
+        """(text, type, start, end) of what is in a sentence, whatever its section."""
+        low = _plain(s)
+        # only what can be there is looked for: trying all terms at every letter took most of the time
+        ps = [(t, p) for t, p, need in forms if any(x in low for x in need)]
+        ps += [(t, _any_of(here)) for t, ts in listed if (here := tuple([a for a, x in ts if x in low]))]
+        ps += [(t, _any_of((a,))) for t, ts in shorter for a, x in ts if x in low]
+        got = [(m[0], kind, m.start(), m.end()) for kind, p in ps for m in p.finditer(s)]
+        for m in _WITH_ECTS.finditer(s) if "(" in s else ():
+            got += [(m[1], "Module", m.start(1), m.end(1)), (m[2], "Requirement", m.start(2), m.end(2))]
+        return got
+
     def find(batches):
+        searched = lru_cache(1 << 15)(search)  # sentences repeat
         for b in batches:
-            rows = []
+            rows, met = [], set()
             for cid, sec, sid, s, at in zip(b["chunk_id"], b["section_id"], b["sentence_id"], b["sentence"], b["at"]):
-                seen, low = set(), _plain(s)
-
-                def add(name, kind, i, j, cid=cid, sid=sid, s=s, at=at, seen=seen):
+                seen, before = set(), len(rows)
+                for name, kind, i, j in [(sec, "Section", 0, 0)] * bool(sec) + searched(s):
                     name = re.sub(r"\s+", " ", name).strip(" ,.;:()[]")
                     if len(name) >= 2 and (name.casefold(), kind, i, j) not in seen:
                         seen.add((name.casefold(), kind, i, j))
                         rows.append((cid, sid, s, name, kind, at + i, at + j))
-
-                if sec:
-                    add(sec, "Section", 0, 0)
-                # only what can be there is looked for: trying all terms at every letter took most of the time
-                ps = [(t, p) for t, p, need in forms if any(x in low for x in need)]
-                ps += [(t, _any_of(here)) for t, ts in listed if (here := tuple([a for a, x in ts if x in low]))]
-                ps += [(t, _any_of((a,))) for t, ts in shorter for a, x in ts if x in low]
-                for kind, p in ps:
-                    for m in p.finditer(s):
-                        add(m[0], kind, m.start(), m.end())
-                for m in _WITH_ECTS.finditer(s) if "(" in s else ():
-                    add(m[1], "Module", m.start(1), m.end(1))
-                    add(m[2], "Requirement", m.start(2), m.end(2))
+                if lean and all(x[4] == "Section" for x in rows[before:]):
+                    rows[before:] = [x for x in rows[before:] if (cid, x[3]) not in met and not met.add((cid, x[3]))]
             yield pd.DataFrame(rows, columns=["chunk_id", "sentence_id", "sentence", "name", "entity_type", "start_char", "end_char"])
 
     return find
 
 
-def mentions(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
+def mentions(chunks: DataFrame, extra: dict[str, list[str]] | None = None, lean: bool = False) -> DataFrame:
     """Entities of the chunks' sentences with their places in the chunk: the section, forms, terms, and modules with their points.
 
     extra holds further terms by type, such as those of gold triples; terms of less than three letters are passed over.
+    lean: of sentences with sections alone, from which no relation starts, each section of a chunk is given once or a few times, not for
+    every sentence; relations() and augmented_retrieval() give the same with these.
     """
     sents = chunks.select("chunk_id", "section_id", F.posexplode(sentences(F.col("text"))).alias("no", "s")).select("chunk_id", "section_id", F.concat_ws("|", "chunk_id", F.concat(F.lit("s"), "no")).alias("sentence_id"), F.col("s.text").alias("sentence"), F.col("s.start").alias("at"))
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return sents.mapInPandas(finder(extra), ENTITY.replace("chunk_id string", f"chunk_id {kind}"))
+    return sents.mapInPandas(finder(extra, lean), ENTITY.replace("chunk_id string", f"chunk_id {kind}"))
 
 
-def entities(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
+def entities(chunks: DataFrame, extra: dict[str, list[str]] | None = None, lean: bool = False) -> DataFrame:
     """Mentions with identifiers, normal names and the number of words before them."""
-    m = mentions(chunks, extra).join(chunks.select("chunk_id", "doc_id", "program", "section_id", F.col("text").alias("_text")), "chunk_id")
+    m = mentions(chunks, extra, lean).join(chunks.select("chunk_id", "doc_id", "program", "section_id", F.col("text").alias("_text")), "chunk_id")
     before = F.size(F.filter(F.split(F.substr("_text", F.lit(1), F.col("start_char")), r"\s+"), lambda w: w != ""))
     norm = name_form(F.col("name"))
     return m.select("chunk_id", "sentence_id", "sentence", "name", "entity_type", norm.alias("norm"), "start_char", "end_char", before.alias("start_word"), stable_id(F.col("chunk_id").cast("string"), F.col("sentence_id"), F.col("entity_type"), norm, F.col("start_char").cast("string")).alias("entity_id"), "doc_id", "program", "section_id")
@@ -254,9 +257,24 @@ def _years_in(text: str) -> str:
     return " ".join(sorted(set(re.findall(r"(?=(20\d{2}))", text))))
 
 
+def _ranges(start, stop):
+    """Numbers from each start to before its stop, one range after another."""
+    import numpy as np
+
+    n = stop - start
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def _up(x):
+    import numpy as np
+
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
 class _Index:
     """Relations, names and chunks of a graph as arrays; relations that differ by chunks alone are one kind with a count, as all scores of a kind are alike.
 
+    A class are chunks of like quality for every question; an item is a kind, or a name in a class, and each has its chunks in order.
     Read by each Python worker from the tables that the executors share; nothing of it goes through the driver.
     """
 
@@ -272,18 +290,40 @@ class _Index:
         codes, names = pd.factorize(pd.concat([r["subject_norm"], r["object_norm"], n["norm"]], ignore_index=True))
         self.names, self.name_at = list(names), {x: i for i, x in enumerate(names)}
         self.several = [(i, set(x.split(" "))) for i, x in enumerate(names) if " " in x]
+        self.heads: dict[str, list] = {}
+        for i, x in enumerate(names):
+            if x != "":
+                self.heads.setdefault(x[:3], []).append((i, x))
         pred, self.predicates = pd.factorize(r["predicate"])
         s, o = codes[: len(r)], codes[len(r) : 2 * len(r)]
         one = pd.DataFrame({"a": np.r_[s, o], "b": np.r_[o, s], "s": np.r_[s, s], "o": np.r_[o, o], "p": np.r_[pred, pred], "r": np.tile(r["stated"].to_numpy(), 2), "c": np.tile(kind[r["chunk"]], 2), "chunk": np.tile(r["chunk"].to_numpy(), 2)})
         by = ["a", "b", "s", "o", "p", "r", "c"]
         k = one.groupby(by, sort=True).size().rename("n").reset_index()
-        one = one.merge(k.reset_index(names="kind")[[*by, "kind"]], on=by)[["chunk", "kind"]].drop_duplicates().sort_values(["chunk", "kind"])
+        one = one.merge(k.reset_index(names="item")[[*by, "item"]], on=by)[["chunk", "item"]].drop_duplicates()
         for x in (*by, "n"):
             setattr(self, "k_" + x, k[x].to_numpy())
-        self.at_a = np.searchsorted(self.k_a, np.arange(len(names) + 1))
-        self.held, self.holder, self.holds = one["kind"].to_numpy(), *np.unique(one["chunk"], return_index=True)
-        m = pd.DataFrame({"chunk": n["chunk"].to_numpy(), "name": codes[2 * len(r) :]}).drop_duplicates().sort_values(["chunk", "name"])
-        self.named, self.namer, self.names_of = m["name"].to_numpy(), *np.unique(m["chunk"], return_index=True)
+        alike = ~k[by[:-1]].duplicated().to_numpy()  # kinds in order: the first of those that differ by class alone
+        m = pd.DataFrame({"chunk": n["chunk"].to_numpy(), "name": codes[2 * len(r) :]}).drop_duplicates()
+        m["c"] = kind[m["chunk"]]
+        u = m[["name", "c"]].drop_duplicates().sort_values(["name", "c"], ignore_index=True)
+        m = m.merge(u.reset_index(names="item"), on=["name", "c"])[["chunk", "item"]]
+        self.base = np.r_[np.cumsum(alike) - 1, alike.sum() + u["name"].to_numpy()].astype(np.int64)
+        self.n_bases, self.item_class = int(alike.sum()), np.r_[self.k_c, u["c"].to_numpy()].astype(np.int64)
+        chunk, item = np.r_[one["chunk"].to_numpy(), m["chunk"].to_numpy()].astype(np.int64), np.r_[one["item"].to_numpy(), m["item"].to_numpy() + len(k)].astype(np.int64)
+        order = np.lexsort((item, chunk))
+        self.items_of, self.at_chunk = item[order], np.searchsorted(chunk[order], np.arange(len(c) + 1))
+        order = np.lexsort((chunk, item))
+        self.chunks_of, self.at_item = chunk[order], np.searchsorted(item[order], np.arange(len(self.base) + 1))
+        self.views: dict[bytes, _View] = {}
+
+    def view(self, quality) -> _View:
+        """The items for a quality of each class; some of the last views are kept."""
+        key = quality.tobytes()
+        v = self.views.pop(key, None) or _View(self, quality)
+        self.views[key] = v
+        if len(self.views) > 16:
+            del self.views[next(iter(self.views))]
+        return v
 
     def quality(self, question: str):
         """chunk_quality() of each class of chunks."""
@@ -293,81 +333,178 @@ class _Index:
         asked = re.search(PREAMBLE_WORDS, question.lower())
         return np.array([(0.25 if years and not years & set(ys.split()) else 1.0) * (0.2 if pre and not asked else 1.0) for ys, pre in self.classes])
 
-    def answered(self, question: str):
-        """Of each kind intent_score() and whether the question has a cue of its predicate."""
+    def known(self, question: str):
+        """Of each name whether contains() has it in the question."""
         import numpy as np
 
-        words = set(question.split(" "))
-        has = lambda x: x != "" and (x in question or words.issuperset(x.split(" ")))
-        known = np.array([x != "" and x in question for x in self.names], dtype=bool)
+        words, known = set(question.split(" ")), np.zeros(len(self.names), dtype=bool)
+        for n in (1, 2, 3):
+            for j in range(len(question) - n + 1):
+                for i, x in self.heads.get(question[j : j + n], ()):
+                    if question.startswith(x, j):
+                        known[i] = True
         for i, ws in self.several:
             known[i] |= ws <= words
-        hits = np.array([sum(map(has, CUES.get(p, "\x01").split("|"))) for p in self.predicates])
-        group = np.array([any(x in question for x in INTENTS.get(p, "\x01").split("|")) for p in self.predicates], dtype=bool)
-        s = np.minimum(0.55, hits * 0.18)[self.k_p] + np.where(known[self.k_s], 0.16, 0.0) + np.where(known[self.k_o], 0.16, 0.0)
-        return np.minimum(1.0, s + np.where(group[self.k_p] | self.k_r, 0.28, 0.0)), (hits > 0)[self.k_p]
+        return known
+
 
+class _View:
+    """Items of an index of which those that differ only by classes of one quality are one, as their scores are alike too."""
+
+    def __init__(self, ix: _Index, quality):
+        import numpy as np
+
+        values, level = np.unique(quality, return_inverse=True)
+        u, first, self.item = np.unique(ix.base * len(values) + level[ix.item_class], return_index=True, return_inverse=True)
+        kinds = int(np.searchsorted(u, ix.n_bases * len(values)))
+        for x in "absopr":
+            setattr(self, x, getattr(ix, "k_" + x)[first[:kinds]])
+        self.n, self.number = np.bincount(self.item[: len(ix.k_n)], ix.k_n, kinds), 8 * self.p + 4 * self.r
+        self.quality, self.name, self.chunk_quality = values[u % max(1, len(values))] if len(u) else np.zeros(0), u[kinds:] // max(1, len(values)) - ix.n_bases, quality[ix.chunk_class]
+        self.at_a = np.searchsorted(self.a, np.arange(len(ix.names) + 1))
+        self.strong = np.flatnonzero(self.quality[:kinds] >= 0.5)
+        self.parts, self.at_part = np.argsort(self.item, kind="stable"), np.r_[0, np.cumsum(np.bincount(self.item, minlength=len(u)))]
+        self.size = np.bincount(self.item, np.diff(ix.at_item), len(u)).astype(np.int64)
+
+    def parts_of(self, items):
+        return self.parts[_ranges(self.at_part[items], self.at_part[items + 1])]
+
+    def answered(self, question: str, known, predicates):
+        """Of each kind a number; by these numbers intent_score(), whether the question has a cue of the predicate, and the predicate."""
+        import numpy as np
 
-def _spread_scores(ix: _Index, qn: str, question: str, seeds: dict, algorithm: str, rounds: int, damping: float):
-    """(found, g, i) of each chunk: whether the graph leads to it, its best score and best intent."""
+        words = set(question.split(" "))
+        has = lambda x: x != "" and (x in question or words.issuperset(x.split(" ")))
+        hits = np.array([sum(map(has, CUES.get(p, "\x01").split("|"))) for p in predicates], dtype=int)
+        group = np.array([any(x in question for x in INTENTS.get(p, "\x01").split("|")) for p in predicates], dtype=bool)
+        p, stated, s, o = (x.ravel() for x in np.indices((len(predicates), 2, 2, 2)))
+        intent = np.minimum(0.55, hits * 0.18)[p] + np.where(s, 0.16, 0.0) + np.where(o, 0.16, 0.0)
+        return self.number + 2 * known[self.s] + known[self.o], np.minimum(1.0, intent + np.where(group[p] | (stated > 0), 0.28, 0.0)), (hits > 0)[p], p
+
+
+def _spread_scores(ix: _Index, view: _View, qn: str, seeds: dict, algorithm: str, rounds: int, damping: float):
+    """(value, intent) of each item of the view, value -inf where the graph doesn't lead, and the intents there are; None if it leads nowhere."""
     import numpy as np
 
     n = len(ix.names)
-    quality, (intent, cued) = ix.quality(question), ix.answered(qn)
-    k_quality = quality[ix.k_c]
-    weight = lambda other: np.array([WEIGHTS.get(p, other) for p in ix.predicates])[ix.k_p]
-    best = np.full(len(ix.k_a), -np.inf)  # of each kind
     seed = np.full(n, np.nan)  # nan: not in the front
     for x, v in seeds.items():
         if x in ix.name_at:
             seed[ix.name_at[x]] = v
-
-    def step(front):
-        """The kinds that start at the front."""
-        at = np.flatnonzero(~np.isnan(front))
-        if 2 * len(at) > n:
-            return np.flatnonzero(~np.isnan(front)[ix.k_a])
-        return np.concatenate([np.arange(ix.at_a[j], ix.at_a[j + 1]) for j in at]) if len(at) else np.zeros(0, dtype=int)
-
-    def hit(k, c):
-        best[k] = np.maximum(best[k], c)
-
+    if np.isnan(seed).all():
+        return None
+    number, intents, cued, p = view.answered(qn, ix.known(qn), ix.predicates)
+    k_quality, intent = view.quality[: len(view.a)], intents[number]
+    weight = lambda other: np.array([WEIGHTS.get(x, other) for x in ix.predicates])[p]
+    best = np.full(len(view.a), -np.inf)  # of each kind
     active = seed
     if algorithm != "direct" and rounds:
-        start = seed / sum(seeds.values()) if seeds else seed
-        now, w0 = start, weight(OTHER_WEIGHT) * k_quality * (1 + 0.12 * intent)
+        start, k = seed / sum(seeds.values()), view.strong
+        a, b, count = view.a[k], view.b[k], view.n[k]
+        w = (weight(OTHER_WEIGHT) * (1 + 0.12 * intents))[number[k]] * k_quality[k]
+        share = damping * w / np.bincount(a, w * count, n)[a]
+        now, passed, met, front = start, share * count, None, None
+        top = np.full(n, np.nan)  # the most that a name passes on in any round
         for _ in range(rounds):
-            k = step(now)
-            k = k[k_quality[k] >= 0.5]
-            total = np.bincount(ix.k_a[k], w0[k] * ix.k_n[k], n)
-            c = damping * now[ix.k_a[k]] * w0[k] / total[ix.k_a[k]]
-            hit(k, c)
-            flow, met = np.bincount(ix.k_b[k], c * ix.k_n[k], n), np.bincount(ix.k_b[k], minlength=n) > 0
+            top, was, front = np.fmax(top, now), front, ~np.isnan(now)
+            if was is None or (was != front).any():
+                met = np.bincount(b, front[a], n) > 0
+            flow = np.bincount(b, np.nan_to_num(now)[a] * passed, n)
             now = np.where(met | ~np.isnan(start), (1 - damping) * np.nan_to_num(start) + flow, np.nan)
+        best[k] = np.fmax(best[k], top[a] * share)
         active = np.fmax(active, now)
     if algorithm != "ppr":
-        front, w1 = seed, weight(0.72)
+        front, w1, more = seed, weight(0.72), np.where(cued, 0.12, 0.0)
         for depth in (1, 2):
-            k = step(front)
-            c = (front[ix.k_a[k]] * 0.55**depth * w1[k] + np.where(cued[k], 0.12, 0.0)) * k_quality[k]
-            hit(k, c)
+            at = np.flatnonzero(~np.isnan(front))
+            k = _ranges(view.at_a[at], view.at_a[at + 1])  # the kinds that start at the front
+            c = (front[view.a[k]] * 0.55**depth * w1[number[k]] + more[number[k]]) * k_quality[k]
+            best[k] = np.maximum(best[k], c)
             top = np.full(n, -np.inf)
-            np.maximum.at(top, ix.k_b[k], c)
+            np.maximum.at(top, view.b[k], c)
             front = np.where(np.isfinite(top) & (np.isnan(active) | (top > active)), top, np.nan)
             active = np.fmax(active, front)
-    k = step(active)
-    hit(k, (active[ix.k_a[k]] + np.where(cued[k], 0.15, 0.0)) * k_quality[k])
-    g = np.full(len(ix.chunk_ids), -np.inf)
-    i = g.copy()
-    if len(ix.held):
-        g[ix.holder] = np.maximum.reduceat(best[ix.held], ix.holds)
-        i[ix.holder] = np.maximum.reduceat(np.where(np.isfinite(best), intent, -np.inf)[ix.held], ix.holds)
-    if len(ix.named):
-        s = np.maximum.reduceat(np.where(np.isnan(active), -np.inf, active)[ix.named], ix.names_of)
-        lone = np.full(len(g), -np.inf)
-        lone[ix.namer] = s * 0.7 * quality[ix.chunk_class[ix.namer]]
-        g, i = np.maximum(g, lone), np.where(np.isfinite(lone), np.maximum(i, 0.0), i)
-    return np.isfinite(g), g, i, quality[ix.chunk_class]
+    best = np.fmax(best, (active[view.a] + np.where(cued, 0.15, 0.0)[number]) * k_quality)
+    lone = active[view.name] * 0.7 * view.quality[len(view.a) :]
+    return np.r_[best, np.where(np.isnan(lone), -np.inf, lone)], np.r_[intent, np.zeros(len(lone))], np.unique(np.r_[0.0, intents])
+
+
+class _Scored:
+    """Scores of chunks for one question from those of the items: a chunk has the best value and the best intent of its items, both scaled by their maxima."""
+
+    def __init__(self, ix: _Index, view: _View, items, graph_weight: float, by_intent: float):
+        self.ix, self.view, self.graph_weight, self.by_intent = ix, view, graph_weight, by_intent
+        self.value, self.intent, self.intents = items
+        self.found = self.value > float("-inf")
+        self.high = [x[self.found].max() if self.found.any() else 0 for x in (self.value, self.intent)]
+
+    def scaled(self, x, which: int):
+        return _up(x / self.high[which]) if self.high[which] > 0 else x * 0.0
+
+    def score(self, base, graph, intent):
+        return _up((1 - self.graph_weight) * base + self.graph_weight * ((1 - self.by_intent) * graph + self.by_intent * intent))
+
+    def of(self, chunks):
+        """(found, graph, intent) of the chunks."""
+        import numpy as np
+
+        at, to = self.ix.at_chunk[chunks], self.ix.at_chunk[chunks + 1]
+        some, g = np.flatnonzero(to > at), np.full(len(chunks), -np.inf)
+        i = g.copy()
+        if len(some):
+            x = self.view.item[self.ix.items_of[_ranges(at[some], to[some])]]
+            cut = np.r_[0, np.cumsum(to[some] - at[some])[:-1]]
+            g[some], i[some] = np.maximum.reduceat(self.value[x], cut), np.maximum.reduceat(np.where(self.found[x], self.intent[x], -np.inf), cut)
+        found = np.isfinite(g)
+        return found, self.scaled(np.where(found, g, 0.0), 0), self.scaled(np.where(found, i, 0.0), 1)
+
+    def best(self, most: int, own, least: float, floor: float):
+        """The most best chunks besides its own of at least that quality and graph score, in order of score and chunk; the same as if all chunks were scored.
+
+        A few chunks of the best items set a bound. A chunk at or above it has an item whose value, with the best intent of all,
+        reaches the bound, and one whose intent, with the best value, does; of equal chunks only those before the last one count.
+        """
+        import numpy as np
+
+        ix, view = self.ix, self.view
+        fit = self.found & (view.quality >= least)
+        lead = np.flatnonzero(fit & (self.value >= (floor - 1e-5) * self.high[0]))
+        graph = self.scaled(self.value[lead], 0)
+        lead, graph = lead[graph >= floor], graph[graph >= floor]
+        if not len(lead):
+            return []
+
+        def first(chunks):
+            chunks = np.setdiff1d(chunks, own)
+            chunks = chunks[view.chunk_quality[chunks] >= least]
+            found, g, i = self.of(chunks)
+            s, keep = self.score(0.0, g, i), found & (g >= floor)
+            chunks, s, g, i = chunks[keep], s[keep], g[keep], i[keep]
+            order = np.lexsort((chunks, -s))[:most]
+            return list(zip(chunks[order], s[order], g[order], i[order]))
+
+        alone, tried, got = self.score(0.0, graph, self.scaled(self.intent[lead], 1)), 16, []
+        while len(got) < most:
+            some = lead if tried >= len(lead) else lead[np.argpartition(-alone, tried - 1)[:tried]]
+            at = view.parts_of(some)
+            got = first(ix.chunks_of[_ranges(ix.at_item[at], np.minimum(ix.at_item[at] + most + len(own), ix.at_item[at + 1]))])
+            if tried >= len(lead):
+                break
+            tried *= 8
+        if len(got) < most:
+            return got
+        bound, last = got[-1][1], got[-1][0]
+        by_value = self.score(0.0, graph, self.scaled(self.intent[fit].max(), 1))
+        by_intent = self.score(0.0, graph.max(), self.scaled(self.intents, 1))
+        least_intent = lambda x: self.intents[x].min() if x.any() else np.inf
+        size = lambda x: int(view.size[x].sum())
+        ways = [(lead[by_value >= bound], 0), (np.flatnonzero(fit & (self.intent >= least_intent(by_intent >= bound))), 0), (lead[by_value > bound], last), (np.flatnonzero(fit & (self.intent >= least_intent(by_intent > bound))), last)]
+        more, before = min(ways, key=lambda w: size(w[0]) + w[1])
+        at, seen = view.parts_of(more), np.zeros(len(ix.chunk_ids), dtype=bool)
+        seen[ix.chunks_of[_ranges(ix.at_item[at], ix.at_item[at + 1])]] = True
+        seen[:before] = True
+        seen[[x[0] for x in got]] = True
+        return first(np.flatnonzero(seen))
 
 
 def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFrame, rels: DataFrame, chunks: DataFrame, profile: str = "balanced", graph_weight: float = 0.35, k: int = 8, seeds: int = 20) -> DataFrame:
@@ -379,7 +516,8 @@ def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFr
     added chunks must pass the profile's quality and a floor.
 
     Names as frequent as 'bis' lead from every question to most relations, so pairs of questions and relations aren't made rows:
-    each question is worked out over the arrays of _Index, and only its result leaves the Python worker.
+    each question is worked out over the arrays of _Index, and only its result leaves the Python worker. Scores are spread over kinds
+    of relations; only chunks that can be among the added ones get theirs.
     """
     algorithm, added, least, rounds, damping, by_intent = PROFILES[profile]
     scratch = Scratch(questions.sparkSession)
@@ -404,29 +542,28 @@ def augmented_retrieval(questions: DataFrame, retrieved: DataFrame, ents: DataFr
     def work(batches):
         import numpy as np
 
-        ix, up = shared_object(_Index, *paths), lambda x: np.floor(x * 1e6 + 0.5) / 1e6
+        ix = shared_object(_Index, *paths)
         for batch in batches:
-            rows = []
-            for qid, qn, question, seed, base in zip(batch["qid"], batch["qn"], batch["question"], batch["seeds"], batch["base"]):
-                found, g, i, quality = _spread_scores(ix, qn, question, {x["norm"]: x["s"] for x in (seed if seed is not None else ())}, algorithm, rounds, damping)
+            rows, qualities = [], [ix.quality(x) for x in batch["question"]]
+            for nth in sorted(range(len(batch)), key=lambda x: qualities[x].tobytes()):  # those with one view together
+                qid, qn, seed, base = (batch[x].iat[nth] for x in ("qid", "qn", "seeds", "base"))
+                view = ix.view(qualities[nth])
+                items = _spread_scores(ix, view, qn, {x["norm"]: x["s"] for x in (seed if seed is not None else ())}, algorithm, rounds, damping)
                 own = {x["chunk_id"]: x for x in (base if base is not None else ())}
                 where = {c: j for c in own if (j := np.searchsorted(ix.chunk_ids, c)) < len(ix.chunk_ids) and ix.chunk_ids[j] == c}
                 high = max([x["score"] for c, x in own.items() if c in where and x["score"] is not None], default=0)
-                b = np.zeros(len(g))
-                for c, j in where.items():
-                    b[j] = up((own[c]["score"] or 0.0) / high) if high > 0 else 0.0
-                scaled = lambda x: up(np.where(found, x, 0.0) / x[found].max()) if found.any() and x[found].max() > 0 else np.zeros(len(x))
-                graph, intent = scaled(g), scaled(i)
-                score = up((1 - graph_weight) * b + graph_weight * ((1 - by_intent) * graph + by_intent * intent))
-                new = found & (quality >= max(0.5, least)) & (graph >= floor)
-                new[list(where.values())] = False
-                at = np.flatnonzero(new)
-                if len(at) > added:  # all that may be among the best, then in order
-                    at = at[score[at] >= np.partition(score[at], -added)[-added]]
-                at = at[np.lexsort((at, -score[at]))][:added]
-                first = sorted((c for c in where if own[c]["rank"] <= k), key=lambda c: (own[c]["rank"], -score[where[c]], where[c]))
-                out = [(where[c], "vector+graph" if found[where[c]] else "vector") for c in first] + [(j, "graph") for j in at]
-                rows += [(qid, ix.chunk_ids[j], n, score[j], b[j], graph[j], intent[j], source) for n, (j, source) in enumerate(out, 1)]
+                at = np.array(list(where.values()), dtype=np.int64)
+                b = _up(np.array([(own[c]["score"] or 0.0) / high if high > 0 else 0.0 for c in where]))
+                if items is None:
+                    found, graph, intent, new = np.zeros(len(at), dtype=bool), np.zeros(len(at)), np.zeros(len(at)), []
+                    score = _up((1 - graph_weight) * b)
+                else:
+                    x = _Scored(ix, view, items, graph_weight, by_intent)
+                    found, graph, intent = x.of(at)
+                    score, new = x.score(b, graph, intent), x.best(added, at, max(0.5, least), floor)
+                first = sorted((n for n, c in enumerate(where) if own[c]["rank"] <= k), key=lambda n: (own[ix.chunk_ids[at[n]]]["rank"], -score[n], at[n]))
+                out = [(at[n], score[n], b[n], graph[n], intent[n], "vector+graph" if found[n] else "vector") for n in first] + [(j, s, 0.0, g, i, "graph") for j, s, g, i in new]
+                rows += [(qid, ix.chunk_ids[j], n, *x) for n, (j, *x) in enumerate(out, 1)]
             yield pd.DataFrame(rows, columns=["qid", "chunk_id", "rank", "score", "base", "graph", "intent", "source"])
 
     d = q.join(seed, "qid", "left").join(base, "qid", "left").where("seeds is not null or base is not null")
@@ -500,8 +637,9 @@ def path_grounding(claims: DataFrame, paths: DataFrame) -> DataFrame:
 def added_noise(found: DataFrame, chunks: DataFrame, questions: DataFrame, triples: DataFrame) -> DataFrame:
     """(qid, n_added, n_noise, precision) of the chunks that only the graph led to: noise are preambles, chunks of low quality for the question, and those without a subject or object of its gold triples (where it has any)."""
     t = triples.where("trim(subject) <> '' and trim(object) <> ''").groupBy("qid").agg(F.collect_set(name_form(F.col("subject"))).alias("ss"), F.collect_set(name_form(F.col("object"))).alias("os"))
-    c = chunks.select("chunk_id", "section_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), name_form(F.concat_ws(" ", "doc_id", "section_id", "title", "text")).alias("x"))
-    d = found.where("source = 'graph'").select("qid", "chunk_id").join(c, "chunk_id").join(questions.select("qid", "question"), "qid").join(t, "qid", "left")
+    new = Scratch(found.sparkSession).cut(found.where("source = 'graph'").select("qid", "chunk_id"))  # few chunks, often the same: only their texts are brought into normal form
+    c = chunks.join(new.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "section_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "title", "section_id").alias("place"), name_form(F.concat_ws(" ", "doc_id", "section_id", "title", "text")).alias("x"))
+    d = new.join(c, "chunk_id").join(questions.select("qid", "question"), "qid").join(t, "qid", "left")
     none = F.col("ss").isNotNull() & ~F.exists("ss", lambda s: contains(F.col("x"), s)) & ~F.exists("os", lambda o: contains(F.col("x"), o))
     noise = (F.lower("section_id") == "preamble") | (chunk_quality(F.col("question"), F.col("place"), F.col("section_id")) < 0.5) | none
     d = d.withColumn("noise", F.coalesce(noise, F.lit(False)))

@@ -24,10 +24,10 @@ def kg_structure(spark: SparkSession, d: str) -> DataFrame:
     return K.structure(_chunks(spark, d)).select("chunk_id", "subject", "predicate", "object")
 
 
-def _graph(spark, d):
+def _graph(spark, d, lean=False):
     s = Scratch(spark)
     c = s.cut(_chunks(spark, d))
-    e = s.cut(K.entities(c).drop("start_word"))  # which nothing here reads, and which needs the whole text beside every entity
+    e = s.cut(K.entities(c, lean=lean).drop("start_word"))  # which nothing here reads, and which needs the whole text beside every entity
     return c, e, s.cut(K.relations(e))
 
 
@@ -46,13 +46,13 @@ def kg_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(c):
-    return c.where("title is not null").groupBy("doc_id").agg(F.min_by(F.struct("title", "section_id", "text"), "chunk_id").alias("x")).select(F.col("doc_id").alias("qid"), F.concat_ws(" ", "x.title", F.lit("Frist"), F.substring("x.text", 1, 60)).alias("question"))
+    return c.where("title is not null").groupBy("doc_id").agg(F.min_by(F.struct("title", F.substring("text", 1, 60).alias("head")), "chunk_id").alias("x")).select(F.col("doc_id").alias("qid"), F.concat_ws(" ", "x.title", F.lit("Frist"), "x.head").alias("question"))
 
 
 def _retrieved(c, k=3):
     """Chunks of the question's document by length, as a stand-in ranking of a retriever."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "chunk_id")
-    return c.select(F.col("doc_id").alias("qid"), "chunk_id", F.row_number().over(w).alias("rank")).where(f"rank <= {k}").withColumn("score", 1.0 / F.col("rank"))
+    w = Window.partitionBy("qid").orderBy(F.desc("n"), "chunk_id")
+    return c.select(F.col("doc_id").alias("qid"), "chunk_id", F.length("text").alias("n")).select("qid", "chunk_id", F.row_number().over(w).alias("rank")).where(f"rank <= {k}").withColumn("score", 1.0 / F.col("rank"))
 
 
 def kg_augmented_retrieval(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def kg_expansion_gain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_added_noise(spark: SparkSession, d: str) -> DataFrame:
-    c, e, r = _graph(spark, d)
+    c, e, r = _graph(spark, d, lean=True)
     return K.added_noise(K.augmented_retrieval(_questions(c), _retrieved(c, 1), e, r, c, "exploratory"), c, _questions(c), _triples(c))
 
 

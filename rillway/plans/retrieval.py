@@ -53,8 +53,9 @@ def _bm25(spark, d):
     return R.bm25(_docs(spark, d), "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"))
 
 
-def _tfidf(spark, d):
-    return R.tfidf(_docs(spark, d), "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"))
+def _ranked(spark, d, kind, k):
+    """The head of a ranking, without rows for terms of documents."""
+    return R.retrieve(kind, _docs(spark, d), "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"), k).select("qid", "doc_id", "score", "rank")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_tfidf(spark, d), "qid", "doc_id", K).select("qid", "doc_id", "score", "rank")
+    return _ranked(spark, d, "tfidf", K)
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def _channels(spark, d):
     """The heads of both rankings, each cut: what is fused is small, and the driver plans and runs one ranking at a time."""
     scratch = Scratch(spark)
-    return tuple(scratch.cut(R.top_k(s, "qid", "doc_id", DEPTH).select("qid", "doc_id", "score")) for s in (_tfidf(spark, d), _bm25(spark, d)))
+    return tuple(scratch.cut(s) for s in (_ranked(spark, d, "tfidf", DEPTH).drop("rank"), R.top_k(_bm25(spark, d), "qid", "doc_id", DEPTH).select("qid", "doc_id", "score")))
 
 
 def hybrid_alpha_topk(spark: SparkSession, d: str) -> DataFrame:

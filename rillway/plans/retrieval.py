@@ -73,7 +73,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def _channels(spark, d):
     """The heads of both rankings, each cut: what is fused is small, and the driver plans and runs one ranking at a time."""
     scratch = Scratch(spark)
-    return tuple(scratch.cut(s) for s in (_ranked(spark, d, "tfidf", DEPTH).drop("rank"), R.top_k(_bm25(spark, d), "qid", "doc_id", DEPTH).select("qid", "doc_id", "score")))
+    return tuple(scratch.cut(_ranked(spark, d, kind, DEPTH).drop("rank")) for kind in ("tfidf", "bm25"))
 
 
 def hybrid_alpha_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -71,9 +71,10 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _channels(spark, d):
-    """The heads of both rankings, each cut: what is fused is small, and the driver plans and runs one ranking at a time."""
-    scratch = Scratch(spark)
-    return tuple(scratch.cut(_ranked(spark, d, kind, DEPTH).drop("rank")) for kind in ("tfidf", "bm25"))
+    """The heads of both rankings from the same passes over the texts, cut: what is fused is small."""
+    both = R.lexical_top_k(("tfidf", "bm25"), _docs(spark, d), "doc_id", F.col("text"), _questions(spark, d), "qid", F.col("question"), DEPTH)
+    both = Scratch(spark).cut(both.select("kind", "qid", "doc_id", "score"))
+    return tuple(both.where(F.col("kind") == kind).drop("kind") for kind in (0, 1))
 
 
 def hybrid_alpha_topk(spark: SparkSession, d: str) -> DataFrame:
